@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("format_duplicates", "match_groups", "bpe")
+NAMES = ("near_duplicates", "format_duplicates", "match_groups", "bpe")
 
 
 def modules() -> list[ModuleType]:
