@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-NAMES = ("near_duplicates", "format_duplicates", "match_groups", "similarity_clusters", "bpe")
+NAMES = ("near_duplicates", "format_duplicates", "match_groups", "similarity_clusters", "bpe", "packing", "subjects")
 
 
 def modules() -> list[ModuleType]:
