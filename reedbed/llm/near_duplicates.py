@@ -8,7 +8,8 @@ them. Therefore records first go into blocks, one tree each: a record has severa
 tokens under random orders, tokens that are frequent in the corpus coming last), and records that share an
 anchor and two of six further minima of it share a block. A pair of similarity 0.6 misses all ten anchors
 with a probability of about 2e-4, one of 0.7 of about 4e-6; this is the only inexact step. A record of which
-many tokens are frequent belongs to a large family; it also has anchors in which those don't come last.
+many tokens are frequent has more anchors, and if most may be, also some in which those don't come last: it
+belongs to a large family.
 
 Copies (equal letters) are one record here, known by a hash of its letters, and get their ids back at the end.
 """
@@ -33,9 +34,11 @@ SIMILARITY = (6, 10)
 ANCHORS, OTHERS, POOL, AGREE_BITS = 10, 6, 20, 10
 #: A token is frequent if it occurs more often than this share of the number of records.
 FREQUENT = 0.015
-#: Share of frequent tokens from which a record also has anchors that treat all tokens alike. Of two records, if
-#: either has less, ten anchors with frequent tokens last see at least a similarity of 0.53 in a pair of 0.6.
-FAMILIAR = 0.15
+#: Shares of frequent tokens above which a record has MORE anchors, and above which it also has anchors that treat all
+#: tokens alike. If one record of a pair of 0.6 has less than the first, ten anchors see a similarity of at least
+#: 0.53; if one has less than the second, thirty see at least 0.38; else those that treat all alike see 0.6.
+SHARED, FAMILIAR = 0.15, 0.35
+MORE = 20
 BINS = 1 << 16
 #: Records in a leaf; records that one task takes of a block before the block is split into a grid.
 LEAF, PART = 32, 2048
@@ -109,6 +112,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repetitions. On large arrays this is many times faster than NumPy's own, which hashes first."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _hashed(token: np.ndarray) -> np.ndarray:
     return (mixed(token) >> np.uint64(32)).astype(np.uint32)
 
@@ -153,33 +162,35 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _orders() -> tuple[np.ndarray, list[list[int]]]:
-    """Factors of the random orders of tokens, and which of the pool go with each anchor."""
+    """Factors of the random orders of tokens, the pool's first, and which of the pool go with each anchor."""
     rng = np.random.default_rng(20)
-    return rng.integers(0, 1 << 32, ANCHORS + POOL, dtype=np.uint32) | 1, [sorted(rng.permutation(POOL)[:OTHERS].tolist()) for _ in range(ANCHORS)]
+    factors = rng.integers(0, 1 << 32, POOL + ANCHORS + MORE, dtype=np.uint32) | 1
+    return factors, [sorted(rng.permutation(POOL)[:OTHERS].tolist()) for _ in range(ANCHORS + MORE)]
 
 
 def _anchors(frequent: np.ndarray):
-    """(record, letters) -> ANCHORS rows (anchor, others, record), twice as many if the record is of a large family.
-    others: OTHERS minima of AGREE_BITS each."""
+    """(record, letters) -> rows (anchor, others, record), ANCHORS of them for most records. others: OTHERS minima of
+    AGREE_BITS each."""
     factors, chosen = _orders()
     late = np.zeros(BINS, np.uint32)
     late[frequent] = 1 << 31
 
-    def rows(base: np.ndarray, last: np.ndarray | None, counts: np.ndarray, records: np.ndarray, kind: int) -> pa.RecordBatch:
+    def rows(base: np.ndarray, last: np.ndarray | None, counts: np.ndarray, records: np.ndarray, anchors: int) -> pa.RecordBatch:
         first = np.cumsum(counts) - counts
-        least = np.empty((len(factors), len(counts)), np.uint64)
-        for k, factor in enumerate(factors):
-            x = base * factor
+        least = np.empty((POOL + anchors, len(counts)), np.uint64)
+        for k in range(POOL + anchors):
+            x = base * factors[k]
             x ^= x >> np.uint32(15)
             x *= np.uint32(0x2C1B3C6D)
             x >>= np.uint32(1)
             if last is not None:
                 x |= last
             least[k] = np.minimum.reduceat(x, first)
-        keys = np.concatenate([mixed(least[k] << np.uint64(8) | np.uint64(k + kind)) for k in range(ANCHORS)])
-        short = mixed(least[ANCHORS:] + np.arange(POOL, dtype=np.uint64)[:, None] * np.uint64(1 << 40)) >> np.uint64(64 - AGREE_BITS)
-        others = np.concatenate([sum(short[x] << np.uint64(AGREE_BITS * n) for n, x in enumerate(row)) for row in chosen])
-        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(others.view(np.int64)), pa.array(np.tile(records, ANCHORS), pa.int64())], names=["anchor", "others", "record"])
+        kind = 0 if last is not None else 128
+        keys = np.concatenate([mixed(least[POOL + k] << np.uint64(8) | np.uint64(k + kind)) for k in range(anchors)])
+        short = mixed(least[:POOL] + np.arange(POOL, dtype=np.uint64)[:, None] * np.uint64(1 << 40)) >> np.uint64(64 - AGREE_BITS)
+        others = np.concatenate([sum(short[x] << np.uint64(AGREE_BITS * n) for n, x in enumerate(row)) for row in chosen[:anchors]])
+        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(others.view(np.int64)), pa.array(np.tile(records, anchors), pa.int64())], names=["anchor", "others", "record"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,10 +199,14 @@ def _anchors(frequent: np.ndarray):
                 token, counts = tokens(*unpacked(part.column(1).to_pylist()))
                 records, base = part.column(0).to_numpy(), _hashed(token)
                 last = late[base >> 16]
-                yield rows(base, last, counts, records, 0)
-                family = np.add.reduceat(last >> np.uint32(31), np.cumsum(counts) - counts) > FAMILIAR * counts
-                if family.any():
-                    yield rows(base[np.repeat(family, counts)], None, counts[family], records[family], 128)
+                share = np.add.reduceat(last >> np.uint32(31), np.cumsum(counts) - counts) / counts
+                for some, anchors in ((share <= SHARED, ANCHORS), (share > SHARED, ANCHORS + MORE)):
+                    if some.any():
+                        own = np.repeat(some, counts)
+                        yield rows(base[own], last[own], counts[some], records[some], anchors)
+                familiar = share > FAMILIAR
+                if familiar.any():
+                    yield rows(base[np.repeat(familiar, counts)], None, counts[familiar], records[familiar], ANCHORS)
 
     return run
 
@@ -205,17 +220,24 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, record = np.unique(record, return_inverse=True)
     order = np.argsort(record, kind="stable")
     anchor, others, record = anchor[order].view(np.uint64), others[order].view(np.uint64), record[order]
+    # Sorting keys that carry their row in the low bits is faster than an argsort and as stable. What is left of the
+    # hash tells nearly all keys apart; two that it doesn't only make a block larger.
+    rows = np.arange(len(record), dtype=np.uint64)
+    low = np.uint64((1 << int(len(record)).bit_length()) - 1)
     mask, found = np.uint64((1 << AGREE_BITS) - 1), []
     for n, (x, y) in enumerate(itertools.combinations(range(OTHERS), 2)):
         both = (others >> np.uint64(AGREE_BITS * x) & mask) << np.uint64(AGREE_BITS) | others >> np.uint64(AGREE_BITS * y) & mask
-        key = mixed(anchor + (both << np.uint64(8) | np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        shared = np.repeat(sizes > 1, sizes)
-        found.append(np.unique(np.repeat(record[order][starts], sizes)[shared] * len(names) + record[order][shared]))
-    pairs = np.unique(np.concatenate(found))
+        key = np.sort(mixed(anchor + (both << np.uint64(8) | np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)) & ~low | rows)
+        row = record[(key & low).astype(np.int64)]
+        key &= ~low
+        same = key[1:] == key[:-1]
+        shared = np.zeros(len(key), bool)
+        shared[1:] = same
+        shared[:-1] |= same
+        row = row[shared]
+        starts = np.flatnonzero(~np.concatenate([[False], same])[shared])
+        found.append(distinct(np.repeat(row[starts], np.diff(np.append(starts, len(row)))) * len(names) + row))
+    pairs = distinct(np.concatenate(found))
     yield pa.record_batch([pa.array(names[pairs // len(names)]), pa.array(names[pairs % len(names)])], names=["lead", "record"])
 
 
@@ -263,7 +285,8 @@ class SignatureTree:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(i * self.leaf, j * self.leaf):
             x, y = self.bits[a : a + self.leaf], self.bits[b : b + self.leaf]
-            overlap = np.stack([np.bitwise_count(row & y).sum(1, dtype=np.int64) for row in x])
+            step = max(1, (1 << 18) // y.size)
+            overlap = np.concatenate([np.bitwise_count(x[k : k + step, None] & y).sum(2, dtype=np.int64) for k in range(0, len(x), step)])
             p, q = np.nonzero(_enough(overlap, self.sizes[a : a + self.leaf, None], self.sizes[None, b : b + self.leaf], similarity))
             new = p + a < q + b
             found.append((p[new] + a, q[new] + b))
@@ -277,7 +300,7 @@ def block_pairs(block: np.ndarray, items: list[bytes], similarity: tuple[int, in
     trees of one leaf; those are compared together."""
     token, counts = tokens(*unpacked(items))
     rows = np.repeat(np.arange(len(items), dtype=np.uint64), counts)
-    key = np.unique(np.repeat(block.astype(np.uint64), counts) << np.uint64(56) | token << np.uint64(16) | rows)
+    key = distinct(np.repeat(block.astype(np.uint64), counts) << np.uint64(56) | token << np.uint64(16) | rows)
     rows, same = (key & np.uint64(0xFFFF)).astype(np.int64), key >> np.uint64(16)
     sizes = np.bincount(rows, minlength=len(items))
     starts = np.concatenate([[True], same[1:] != same[:-1]])
