@@ -433,7 +433,9 @@ def similar_pairs(records: DataFrame, similarity: tuple[int, int] = SIMILARITY,
         .repartition(n, "block", "cell")
         .sortWithinPartitions("block", "cell")
     )
-    pairs = sent.mapInArrow(_compare(similarity), "a long, b long").distinct()
+    # Written before ids come back, so that the letters' shuffle files go first.
+    pairs = materialise(sent.mapInArrow(_compare(similarity), "a long, b long").distinct(), "pairs")
+    release(blocks)
     ids = rows.where("id IS NOT NULL").select("id", "record").distinct()
     other = ids.select(F.col("id").alias("other"), F.col("record"))
     met = pairs.join(ids.withColumnRenamed("record", "a"), "a").select(F.col("b").alias("record"), "id").join(other, "record").select("id", "other")
