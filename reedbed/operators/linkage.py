@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,7 +52,7 @@ def _complete(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, in
 
 def _average(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int, float, int]]:
     """The pair with the smallest mean distance merges; pairs of members without an edge count as ``psi``. Clusters
-    without any edge between them don't merge. Means are compared as fractions, ties by name."""
+    without any edge between them don't merge. Equal means are the same number, and ties go by name."""
     size: dict[int, int] = {}
     links: dict[int, dict[int, tuple[int, int]]] = {}
     for i, j, dist in edges:
@@ -61,10 +60,10 @@ def _average(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int
             size[x] = 1
             links.setdefault(x, {})[y] = (dist, 1)
 
-    def mean(a: int, b: int) -> Fraction:
+    def mean(a: int, b: int) -> float:
         total, n = links[a][b]
         pairs = size[a] * size[b]
-        return Fraction(total + psi * (pairs - n), pairs)
+        return (total + psi * (pairs - n)) / pairs
 
     heap = [(mean(a, b), a, b, 1, 1) for a in links for b in links[a] if a < b]
     heapq.heapify(heap)
@@ -82,7 +81,7 @@ def _average(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int
         for c in links[a]:
             x, y = min(a, c), max(a, c)
             heapq.heappush(heap, (mean(x, y), x, y, size[x], size[y]))
-        out.append((a, b, float(dist), size[a]))
+        out.append((a, b, dist, size[a]))
     return out
 
 
