@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reedbed.plans.runtime import materialise, release, shuffle_partitions
+from reedbed.plans.runtime import materialise, release
+
+#: Edges that a task joins.
+TASK_EDGES = 200_000
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +50,12 @@ def components(edges: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
     vertices that the tasks gave it, and where they differ, these are the edges of the next round. Edges are dealt
     out at random, so a hub's edges are spread evenly, and a vertex meets at most one root for each task.
     """
-    n = shuffle_partitions(edges.sparkSession)
     a, b = F.col(i).cast("long"), F.col(j).cast("long")
     left = materialise(edges.where(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).mapInArrow(_stars, "v long, u long").where("v <> u").distinct(), "edges")
     rounds: list[DataFrame] = []
-    while not rounds or not left.isEmpty():
-        stars = left.repartition(n, F.xxhash64("v", "u")).mapInArrow(_stars, "v long, u long")
+    while (n := left.count()) or not rounds:
+        # As few tasks as their size allows: edges that meet in a task need no further round.
+        stars = left.repartition(-(-n // TASK_EDGES) or 1, F.xxhash64("v", "u")).mapInArrow(_stars, "v long, u long")
         met = materialise(stars.groupBy("v").agg(F.min("u").alias("root"), F.collect_set("u").alias("roots")), "roots")
         rounds.append(met.select("v", "root"))
         after = met.where(F.size("roots") > 1).select(F.explode("roots").alias("v"), F.col("root").alias("u")).where("v <> u").distinct()
