@@ -12,11 +12,13 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reedbed.plans.runtime import materialise
+from reedbed.plans.runtime import materialise, shuffle_partitions
 
+#: Distinct stretches of a key up to which they are kept in one row.
+WIDE = 1000
 COLUMNS = ("table_name", "row_no", "field_name", "period", "kind")
 
 
@@ -76,12 +78,35 @@ def _is_there(at: Column) -> Column:
     return F.when(F.size(spans) == 1, _within(spans[0], at)).otherwise(F.exists(spans, lambda s: _within(s, at)))
 
 
+def _absent_by_timeline(refs: DataFrame, target: DataFrame) -> DataFrame:
+    """References with a time that aren't there, for keys of any number of stretches: (code, row_no, at, first_added).
+
+    Starts, ends and references of a key lie on one line of time, range-partitioned and sorted, so that one key is
+    spread over many tasks; how many stretches are open is a running sum, carried over partitions by one row for each
+    partition and key."""
+    real = target.where("added IS NULL OR removed IS NULL OR added < removed").distinct()
+    none = [F.lit(None).cast("smallint").alias("code"), F.lit(None).cast("long").alias("row_no")]
+    starts = real.select("key", F.col("added").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("delta"), *none)
+    ends = real.where("removed IS NOT NULL").select("key", F.col("removed").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("delta"), *none)
+    asked = refs.where("at IS NOT NULL").select("key", "at", F.lit(1).alias("kind"), F.lit(0).alias("delta"), "code", F.col("row_no").cast("long").alias("row_no"))
+    order = ["key", "at", "kind", "row_no"]
+    line = starts.unionByName(ends).unionByName(asked).repartitionByRange(shuffle_partitions(refs.sparkSession), *order).sortWithinPartitions(*order)
+    line = materialise(line.withColumn("part", F.spark_partition_id()), "timeline")
+    open_here = F.sum("delta").over(Window.partitionBy("part", "key").orderBy("at", "kind", "row_no").rowsBetween(Window.unboundedPreceding, 0))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = line.groupBy("part", "key").agg(F.sum("delta").alias("n")).select("part", "key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
+    absent = line.withColumn("open", open_here).join(carried, ["part", "key"]).where((F.col("kind") == 1) & (F.col("open") + F.col("carried") <= 0))
+    firsts = target.groupBy("key").agg(F.when(F.max(F.col("added").isNull()), None).otherwise(F.min("added")).alias("first_added"))
+    return absent.select("key", "code", "row_no", "at").join(firsts, "key").select("code", "row_no", "at", "first_added")
+
+
 def direct_orphans(
     tables: Mapping[str, DataFrame],
     references: Iterable[Reference],
     targets: Mapping[str, DataFrame],
     row_id: str = "row_no",
     at: str = "made_at",
+    wide: int = WIDE,
 ) -> DataFrame:
     """One row for each reference that is not there: table_name, row_no, field_name, period, kind.
 
@@ -91,7 +116,8 @@ def direct_orphans(
     tables give no rows. Columns other than those named are never read, whatever their names.
 
     One shuffle: the references go to their keys' states. A hot key's references lie on the outer side of
-    a left join, which adaptive execution splits; the other side has one row for each key.
+    a left join, which adaptive execution splits; the other side has one row for each key. Keys of more than
+    ``wide`` distinct stretches, if there are any, take a running sum over their line of time instead.
     """
     references = list(references)
     parts = []
@@ -111,23 +137,23 @@ def direct_orphans(
                 )
             )
         refs = reduce(DataFrame.unionByName, rows)
-        joined = refs.join(key_states(targets[target]), "key", "left")
-        orphan = F.col("spans").isNull() | (F.col("at").isNotNull() & ~_is_there(F.col("at")))
-        kind = (
-            F.when(F.col("spans").isNull(), F.lit("missing"))
-            .when(F.col("at") < F.col("first_added"), F.lit("late"))
-            .otherwise(F.lit("deleted"))
-        )
-        named = lambda what: F.element_at(F.array(*[F.lit(getattr(r, what)) for r in codes]), F.col("code") + 1)  # noqa: B023, E731
-        parts.append(
-            joined.where(orphan).select(
-                named("table").alias("table_name"),
-                "row_no",
-                named("field").alias("field_name"),
-                F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")).alias("period"),
-                kind.alias("kind"),
-            )
+        stretched = targets[target]
+        many = materialise(stretched.distinct().groupBy("key").count().where(F.col("count") > wide).select("key"), "wide")
+        named = lambda what, codes=codes: F.element_at(F.array(*[F.lit(getattr(r, what)) for r in codes]), F.col("code") + 1)
+        shown = lambda df, kind, named=named: df.select(
+            named("table").alias("table_name"),
+            "row_no",
+            named("field").alias("field_name"),
+            F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")).alias("period"),
+            kind.alias("kind"),
         )
+        gone = F.when(F.col("at") < F.col("first_added"), F.lit("late")).otherwise(F.lit("deleted"))
+        if not many.isEmpty():
+            parts.append(shown(_absent_by_timeline(refs.join(many, "key", "left_semi"), stretched.join(many, "key", "left_semi")), gone))
+            refs, stretched = refs.join(many, "key", "left_anti"), stretched.join(many, "key", "left_anti")
+        joined = refs.join(key_states(stretched), "key", "left")
+        orphan = F.col("spans").isNull() | (F.col("at").isNotNull() & ~_is_there(F.col("at")))
+        parts.append(shown(joined.where(orphan), F.when(F.col("spans").isNull(), F.lit("missing")).otherwise(gone)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -138,6 +164,7 @@ def find_orphans(
     links: Iterable[Link] = (),
     row_id: str = "row_no",
     at: str = "made_at",
+    wide: int = WIDE,
 ) -> DataFrame:
     """The fixpoint: direct orphans (level 0), then, level by level, rows that inherit it (kind ``inherited``).
 
@@ -146,7 +173,7 @@ def find_orphans(
     out rows found already, so it ends also on cyclic links. Columns: those of :func:`direct_orphans` and
     ``level``. A row may have several direct rows (one a field) and at most one inherited row a link.
     """
-    direct = direct_orphans(tables, references, targets, row_id, at).withColumn("level", F.lit(0))
+    direct = direct_orphans(tables, references, targets, row_id, at, wide).withColumn("level", F.lit(0))
     links = [x for x in links if x.child in tables and x.parent in tables]
     if not links:
         return direct

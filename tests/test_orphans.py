@@ -1,4 +1,7 @@
 from datetime import datetime as D
+from datetime import timedelta
+
+import pytest
 
 from reedbed.operators.orphans import COLUMNS, Link, Reference, find_orphans, orphan_report, stretches
 
@@ -12,7 +15,8 @@ def found(spark, children, targets, **more):
     return find_orphans(tables, [Reference("child", "ref", "t")], {"t": target}, **more)
 
 
-def test_kinds_and_periods(spark, rows):
+@pytest.mark.parametrize("wide", [1000, 1, 0])
+def test_kinds_and_periods(spark, rows, wide):
     targets = [(1, None, None, "x"), (2, D(2031, 2, 1), D(2031, 3, 1), "x"), (2, D(2031, 5, 1), None, "x"), (2, D(2031, 5, 1), None, "x"), (3, None, D(2031, 1, 1), None)]
     children = [
         (1, D(2031, 1, 5), 1, "a"),
@@ -27,7 +31,7 @@ def test_kinds_and_periods(spark, rows):
         (10, D(2031, 6, 1), 3, None),  # from the beginning, so never late
         (6, D(2031, 6, 1), 9, "again"),
     ]
-    assert rows(found(spark, children, targets).select(*COLUMNS)) == sorted(
+    assert rows(found(spark, children, targets, wide=wide).select(*COLUMNS)) == sorted(
         [
             ("child", 2, "ref", "2031-01", "late"),
             ("child", 4, "ref", "2031-03", "deleted"),
@@ -70,3 +74,13 @@ def test_hot_key(spark):
     target = [(1, D(2031, 1, 1), None, "x")] * 3000 + [(k, None, None, "x") for k in range(2, 50)]
     children = [(n, D(2030, 1, 1), 1, "x") for n in range(5000)]
     assert found(spark, children, target).groupBy("kind").count().collect() == [("late", 5000)]
+
+
+def test_a_key_of_many_stretches(spark, rows):
+    start = D(2031, 1, 1)
+    day = lambda n: start + timedelta(days=n)
+    target = [(1, day(4 * k), day(4 * k + 2), "x") for k in range(300)]
+    children = [(n, day(n - 2), 1, "x") for n in range(400)]
+    want = [("late" if n < 2 else "deleted", n) for n in range(400) if n < 2 or (n - 2) % 4 > 1]
+    for wide in (1000, 50):
+        assert sorted((r.kind, r.row_no) for r in found(spark, children, target, wide=wide).collect()) == sorted(want)
