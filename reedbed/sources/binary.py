@@ -1,8 +1,14 @@
-"""Binary formats: edge files of twelve bytes a record, big-endian (i, j, dist)."""
+"""Binary formats, all big-endian: edge files of twelve bytes a record (i, j, dist), merge logs and sequence stores.
+
+A merge log has a byte 1 and (cluster, sequence) for each single sequence, and a byte 0 and (a, b, merged, distance) for
+each merge, so its records can only be read in order, a file at a time; files are read in parallel. A store has the
+number of sequences, their common width, and then (id, bases) of fixed size.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +85,54 @@ def _chunks(rows: Iterator[bytes], size: int = 100_000) -> Iterator[bytes]:
             part = []
     if part:
         yield b"".join(part)
+
+
+def merge_log(rows: Iterable[tuple]) -> bytes:
+    """(is_leaf, ci, cj, ck, dist) rows as a log; a leaf is cluster ck with the sequence ci."""
+    return b"".join(struct.pack(">?ii", True, ck, ci) if leaf else struct.pack(">?iiii", False, ci, cj, ck, dist) for leaf, ci, cj, ck, dist in rows)
+
+
+def parse_merge_log(raw: bytes) -> Iterator[tuple]:
+    at = 0
+    while at < len(raw):
+        if raw[at]:
+            ck, ci = struct.unpack_from(">ii", raw, at + 1)
+            yield True, ci, None, ck, None
+            at += 9
+        else:
+            ci, cj, ck, dist = struct.unpack_from(">iiii", raw, at + 1)
+            yield False, ci, cj, ck, dist
+            at += 17
+
+
+def read_merge_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, step, is_leaf, ci, cj, ck, dist) of all logs under a path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("file", pa.string()), ("step", pa.int32()), ("is_leaf", pa.bool_()), *((c, pa.int32()) for c in ("ci", "cj", "ck", "dist"))])
+        for batch in batches:
+            for name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(name, n, *r) for n, r in enumerate(parse_merge_log(raw), 1)]
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, step int, is_leaf boolean, ci int, cj int, ck int, dist int")
+
+
+def sequence_store(rows: list[tuple[int, bytes]]) -> bytes:
+    """A store of (id, bases); all must have one width."""
+    width = len(rows[0][1]) if rows else 0
+    if any(len(b) != width for _, b in rows):
+        raise ValueError("sequences of a store must have one width")
+    return struct.pack(">qi", len(rows), width) + b"".join(struct.pack(">i", n) + b for n, b in rows)
+
+
+def parse_sequence_store(raw: bytes, offset: int = 0, count: int | None = None) -> list[tuple[int, bytes]]:
+    """The sequences from ``offset`` on, at most ``count``; a store whose size doesn't fit its head is an error."""
+    n, width = struct.unpack_from(">qi", raw)
+    if len(raw) != 12 + n * (4 + width):
+        raise ValueError("the store's size doesn't fit its number of sequences")
+    last = n if count is None else min(n, offset + count)
+    at = [12 + k * (4 + width) for k in range(offset, last)]
+    return [(struct.unpack_from(">i", raw, k)[0], raw[k + 4 : k + 4 + width]) for k in at]

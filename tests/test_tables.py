@@ -95,6 +95,20 @@ def test_edge_files(spark, rows, tmp_path):
         binary.packed_edges(spark.createDataFrame([(1, 1, 0)], "i int, j int, dist int")).collect()
 
 
+def test_logs_and_stores(spark, rows, tmp_path):
+    log = [(True, 7, None, 0, None), (True, 9, None, 1, None), (False, 0, 1, 2, 1499)]
+    (tmp_path / "a.log").write_bytes(binary.merge_log(log))
+    got = binary.read_merge_logs(spark, f"file://{tmp_path}/*.log").orderBy("step").collect()
+    assert [tuple(r)[2:] for r in got] == log
+    items = [(0, b"ACTGACTG"), (-1, b"AGGGGGGG"), (4, b"TTTTGGGG")]
+    raw = binary.sequence_store(items)
+    assert binary.parse_sequence_store(raw) == items and binary.parse_sequence_store(raw, 1, 5) == items[1:]
+    with pytest.raises(ValueError):
+        binary.parse_sequence_store(raw[:-1])
+    with pytest.raises(ValueError):
+        binary.sequence_store([(1, b"A"), (2, b"AC")])
+
+
 def test_foreign_clusters(spark, rows):
     lines = [">Cluster 0", "0\t402nt, >N1... *", "1\t400nt, >N2... at +/99.75%", "junk", ">Cluster 1", "0\t10aa, >N3... at 97.5%"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
