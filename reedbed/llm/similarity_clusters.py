@@ -12,7 +12,9 @@ cluster runs through all of this again, until a pass finds nothing.
 Ids in different connected components share no feature, so no centroid serves two of them and k-means falls apart
 into one for each component. A component of bounded size is clustered by one task, many components a task; one above
 the bound is clustered by the same steps as joins and aggregations of links, keyed by id or centroid. Ids with fewer
-close partners than a member needs are dropped first, which takes a hub's leaves away.
+close partners than a member needs are dropped first, which takes a hub's leaves away. What passes over a large
+component leave is sifted by exact conditions and falls into components again; one that is still above the bound is
+searched around each of its ids.
 """
 
 from __future__ import annotations
@@ -120,9 +122,9 @@ def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(names, pa.int32()), _bytes_of(sums)], names=["seed", "centroid"])
 
 
-def _uniform(key: Column, salt: int) -> Column:
-    """A number from 0 up to 1 that depends on the key and the salt only, so that reruns agree."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def _uniform(key: Column, *salts: int) -> Column:
+    """A number from 0 up to 1 that depends on the key and the salts only, so that reruns agree."""
+    return F.pmod(F.xxhash64(key, *map(F.lit, salts)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
 def _best(cosines: DataFrame) -> DataFrame:
@@ -143,20 +145,20 @@ def _compared(pairs: DataFrame, vectors: DataFrame, centroids: DataFrame) -> Dat
     return met.mapInArrow(_cosines, "id int, seed int, cosine double")
 
 
-def seeded(vectors: DataFrame, links: DataFrame, oversampling: float = OVERSAMPLING) -> DataFrame:
+def seeded(vectors: DataFrame, links: DataFrame, salt: int, oversampling: float = OVERSAMPLING) -> DataFrame:
     """(id, seed, cosine): seeds by oversampling in rounds, met by the ids close to them, until every id has the
-    cosine SAME_SEED with a seed, itself perhaps. Written as a table."""
+    cosine SAME_SEED with a seed, itself perhaps. Another salt draws other seeds. Written as a table."""
     met: DataFrame | None = None
-    open_, salt = materialise(vectors.select("id", F.lit(1.0).alias("cost")), "open"), 0
+    open_, turn = materialise(vectors.select("id", F.lit(1.0).alias("cost")), "open"), 0
     while True:
         cost, count = open_.agg(F.sum("cost"), F.count("*")).first()
         if not count:
             return met
-        salt += 1
+        turn += 1
         # In each round more of what is left is drawn, after some rounds all, so this ends.
-        chance = F.lit(1.0) if salt > 4 else F.col("cost") * (oversampling * salt * count / cost)
-        rank = F.xxhash64("id", F.lit(-salt))
-        drawn = open_.where(_uniform(F.col("id"), salt) < chance).select("id", rank.alias("rank"))
+        chance = F.lit(1.0) if turn > 4 else F.col("cost") * (oversampling * turn * count / cost)
+        rank = F.xxhash64("id", F.lit(-turn), F.lit(salt))
+        drawn = open_.where(_uniform(F.col("id"), turn, salt) < chance).select("id", rank.alias("rank"))
         beaten = (
             links.join(drawn, "id")
             .join(drawn.select(F.col("id").alias("other"), F.col("rank").alias("against")), "other")
@@ -173,9 +175,9 @@ def seeded(vectors: DataFrame, links: DataFrame, oversampling: float = OVERSAMPL
         met = found if met is None else met.unionByName(found)
 
 
-def k_means(vectors: DataFrame, links: DataFrame) -> DataFrame:
+def k_means(vectors: DataFrame, links: DataFrame, salt: int) -> DataFrame:
     """(id, seed): the centroid of each id, named by a seed. Written as a table."""
-    met = seeded(vectors, links)
+    met = seeded(vectors, links, salt)
     # Oversampling leaves several seeds in a cluster: each takes the name of the smallest that meets the same ids.
     other = met.select("id", F.col("seed").alias("to"))
     alike = met.select("id", "seed").join(other, "id").where("to < seed").select(F.col("seed").alias("id"), F.col("to").alias("seed")).distinct()
@@ -235,15 +237,15 @@ def _in_groups(batches: Iterator[pa.RecordBatch], run: Callable[[list[np.ndarray
 
 
 def _check_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (seed, a, b, d), sorted by seed -> (typical, id) of the checked clusters, one after the other."""
+    """Pairs (seed, a, b, d), sorted by seed -> (seed, typical, id) of the checked clusters, one after the other."""
 
     def run(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1], [True]]))
         for s, e in zip(cuts, cuts[1:]):
             nodes, at = np.unique(np.concatenate([rows[1][s:e], rows[2][s:e]]), return_inverse=True)
             if len(nodes) >= LEAST and (found := _checked(nodes, at[: e - s], at[e - s :], rows[3][s:e])):
-                typical = np.full(len(found[0]), nodes[found[1]])
-                yield pa.record_batch([pa.array(typical, pa.int32()), pa.array(nodes[found[0]], pa.int32())], names=["typical", "id"])
+                seed, typical = np.full(len(found[0]), rows[0][s]), np.full(len(found[0]), nodes[found[1]])
+                yield pa.record_batch([pa.array(x, pa.int32()) for x in (seed, typical, nodes[found[0]])], names=["seed", "typical", "id"])
 
     yield from _in_groups(batches, run)
 
@@ -255,55 +257,141 @@ def _check(pairs: DataFrame, assigned: DataFrame) -> DataFrame:
         .where("seed = seed_b")
         .select("seed", "a", "b", "d")
     )
-    return inner.repartition(shuffle_partitions(pairs.sparkSession), "seed").sortWithinPartitions("seed").mapInArrow(_check_all, "typical int, id int")
-
-
-def _drawn_in(around: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, seed): ids in no cluster that are close to enough members of one for it to take them in."""
-    sizes = found.groupBy("typical").agg(F.count("*").alias("n"))
-    near = (
-        around.where("ta IS NULL AND tb IS NOT NULL").select(F.col("a").alias("id"), F.col("tb").alias("typical"))
-        .unionByName(around.where("ta IS NOT NULL AND tb IS NULL").select(F.col("b").alias("id"), F.col("ta").alias("typical")))
-        .groupBy("id", "typical")
-        .agg(F.count("*").alias("close"))
-        .join(sizes, "typical")
-        .where(F.col("close") * SHARE[1] >= SHARE[0] * F.col("n"))
+    return inner.repartition(shuffle_partitions(pairs.sparkSession), "seed").sortWithinPartitions("seed").mapInArrow(_check_all, "seed int, typical int, id int")
+
+
+def _grown(pairs: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """(seed, typical, id) of checked clusters, each grown on its own until no more ids come in: those close to enough
+    members are drawn in and all checked again. Clusters may overlap afterwards."""
+    done: list[DataFrame] = []
+    while True:
+        sizes = found.groupBy("seed").agg(F.count("*").alias("n"))
+        more = materialise(
+            links.join(found.select("seed", F.col("id").alias("other")), "other")
+            .groupBy("id", "seed")
+            .agg(F.count("*").alias("close"))
+            .join(sizes, "seed")
+            .where(F.col("close") * SHARE[1] >= SHARE[0] * F.col("n"))
+            .join(found.select("id", "seed"), ["id", "seed"], "left_anti")
+            .select("id", "seed"),
+            "more",
+        )
+        wider = found.select("id", "seed").join(more.select("seed").distinct(), "seed", "left_semi").select("id", "seed").unionByName(more)
+        tried = materialise(_check(pairs, wider), "clusters")
+        larger = materialise(tried.groupBy("seed").agg(F.count("*").alias("m")).join(sizes, "seed").where("m > n").select("seed"), "larger")
+        if larger.isEmpty():
+            for part in done:
+                found = found.unionByName(part)
+            return found
+        done.append(materialise(found.join(larger, "seed", "left_anti").select("seed", "typical", "id"), "clusters"))
+        found = materialise(tried.join(larger, "seed", "left_semi").select("seed", "typical", "id"), "clusters")
+        release(more, tried, larger)
+
+
+def _apart(found: DataFrame) -> DataFrame:
+    """(typical, id): of clusters (seed, typical, id) that overlap the largest, then the one of the smallest typical member
+    and seed. One is kept if no member is in a better one; the best of all always is."""
+    ranked = found.join(found.groupBy("seed", "typical").agg(F.count("*").alias("n")), ["seed", "typical"])
+    ranked = ranked.select("seed", "typical", "id", F.struct(-F.col("n"), "typical", "seed").alias("key"))
+    best = ranked.groupBy("id").agg(F.min("key").alias("best"))
+    beaten = ranked.join(best, "id").where("key <> best").select("seed", "typical").distinct()
+    return materialise(found.join(beaten, ["seed", "typical"], "left_anti").select("typical", "id"), "clusters")
+
+
+def _sifted(pairs: DataFrame) -> DataFrame:
+    """The pairs that exact conditions leave, as :meth:`Component._triangles` has them: both ends have enough partners
+    and at least one in common. Written as a table."""
+    kept, before = materialise(pruned(pairs), "sifted"), -1
+    while (n := kept.count()) != before:
+        before = n
+        links = _both_ways(kept).select("id", "other")
+        degrees = links.groupBy("id").agg(F.count("*").alias("n"))
+        # Partners are listed from the end that has fewer, so a hub's don't all meet.
+        low = (
+            kept.join(degrees.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
+            .join(degrees.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+            .select("a", "b", F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("y"))
+        )
+        closed = (
+            low.join(links.select(F.col("id").alias("x"), F.col("other").alias("common")), "x")
+            .join(links.select(F.col("id").alias("y"), F.col("other").alias("common")), ["y", "common"], "left_semi")
+            .select("a", "b")
+            .distinct()
+        )
+        after = materialise(pruned(materialise(kept.join(closed, ["a", "b"], "left_semi").select("a", "b", "d"), "closed")), "sifted")
+        release(kept)
+        kept = after
+    return kept
+
+
+def _balls(pairs: DataFrame) -> DataFrame:
+    """(component, a, b, d): for each id all pairs among it and the ids of no lower rank that may be in a cluster with it.
+    Those are its partners and, as any two members that aren't partners have three in common, the ids that share
+    three with it. A cluster lies whole in the ball of its member of the lowest rank. Ranks follow the number of partners,
+    which keeps the balls of hubs small."""
+    links = _both_ways(pairs).select("id", "other")
+    ranks = materialise(links.groupBy("id").agg((F.count("*") * (1 << 32) + F.col("id")).alias("rank")), "ranks")
+    ranked = materialise(
+        links.join(ranks, "id").join(ranks.select(F.col("id").alias("other"), F.col("rank").alias("other_rank")), "other"), "ranked"
+    )
+    first = ranked.where("other_rank > rank").select(F.col("id").alias("ball"), F.col("rank").alias("least"), F.col("other").alias("id"))
+    second = (
+        first.join(ranked.select("id", "other", "other_rank"), "id")
+        .where("other_rank > least")
+        .groupBy("ball", "other")
+        .agg(F.count("*").alias("n"))
+        .where("n >= 3")
+        .select("ball", F.col("other").alias("id"))
+    )
+    inside = materialise(first.select("ball", "id").unionByName(second).unionByName(first.select("ball", F.col("ball").alias("id"))).distinct(), "balls")
+    return (
+        inside.withColumnRenamed("id", "a")
+        .join(pairs, "a")
+        .join(inside.withColumnRenamed("id", "b"), ["ball", "b"], "left_semi")
+        .select(F.col("ball").cast("long").alias("component"), "a", "b", "d")
     )
-    return near.groupBy("id").agg(F.max_by("typical", F.struct("close", "typical")).alias("seed"))
 
 
-def _around(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs with the clusters of their ends (ta, tb), null for none; without pairs inside a cluster."""
-    for end in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("id").alias(end), F.col("typical").alias(f"t{end}")), end, "left")
-    return materialise(pairs.where("ta IS NULL OR tb IS NULL").select("a", "b", "d", "ta", "tb"), "around")
+def _left_over(core: DataFrame, large: int) -> DataFrame:
+    """(seed, typical, id): clusters in what passes of k-means leave, which may overlap. Pairs are sifted and fall into
+    components; those of more than ``large`` ids are searched by balls."""
+    sifted = _sifted(core)
+    if sifted.isEmpty():
+        return sifted.select(F.col("a").alias("seed"), F.col("a").alias("typical"), F.col("a").alias("id"))
+    small, giants = _by_size(sifted, large)
+    found = _searched(small)
+    if giants is not None:
+        found = found.unionByName(_searched(_balls(giants)))
+    apart = _apart(found.select(F.col("component").alias("seed"), "typical", "id"))
+    return apart.select(F.col("typical").alias("seed"), "typical", "id")
 
 
-def at_scale(core: DataFrame, passes: int = 20) -> DataFrame:
+def at_scale(core: DataFrame, large: int = LARGE) -> DataFrame:
     """Clusters of pairs (a, b, d) of any connected components, by passes of distributed k-means. A pass leaves out the
-    members of clusters found before it; after the pass that finds none, what is left is done with. Each pass draws
-    other seeds."""
+    members of clusters found before it and draws other seeds. What a pass that finds none leaves is searched by exact
+    conditions; this ends when those find none either. Every pass but the last takes a cluster away."""
     spark = core.sparkSession
     found: DataFrame | None = None
-    left = core
-    for n in range(passes):
+    left, salt = core, 0
+    while True:
+        salt += 1
         core = materialise(pruned(left), "core")
         if core.isEmpty():
             break
         links = _both_ways(core)
         vectors = materialise(links.select("id", "other", "d").repartition(shuffle_partitions(spark), "id").mapInArrow(_vectorise, "id int, vector binary"), "vectors")
-        new = materialise(_check(core, k_means(vectors, links)), "clusters")
+        new = materialise(_check(core, k_means(vectors, links, salt)), "clusters")
         release(vectors)
         if new.isEmpty():
-            break
-        around = _around(core, new)
-        more = materialise(_drawn_in(around, new), "more")
-        if not more.isEmpty():
-            grown = new.select("id", F.col("typical").alias("seed")).unionByName(more)
-            new = materialise(_check(core, grown), "clusters")
-            around = _around(core, new)
+            new = _left_over(core, large)
+            if new.isEmpty():
+                break
+        new = _apart(_grown(core, links, new))
         found = new if found is None else found.unionByName(new)
-        left = around.where("ta IS NULL AND tb IS NULL").select("a", "b", "d")
+        outside = core
+        for end in ("a", "b"):
+            outside = outside.join(new.select(F.col("id").alias(end)), end, "left_anti")
+        left = materialise(outside.select("a", "b", "d"), "left")
         release(core)
     return spark.createDataFrame([], "typical int, id int") if found is None else found
 
@@ -421,22 +509,40 @@ class Component:
 
 
 def _by_component(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (component, a, b, d), sorted by component -> (typical, id)."""
+    """Pairs (component, a, b, d), sorted by component -> (component, typical, id)."""
 
     def run(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1], [True]]))
-        typical, members = [], []
+        component, typical, members = [], [], []
         for s, e in zip(cuts, cuts[1:]):
             part = Component(*(x[s:e] for x in rows[1:]))
             for inside, best in part.clusters():
                 members.append(part.ids[inside])
                 typical.append(np.full(len(inside), part.ids[best]))
+                component.append(np.full(len(inside), rows[0][s]))
         if members:
-            yield pa.record_batch([pa.array(np.concatenate(typical), pa.int32()), pa.array(np.concatenate(members), pa.int32())], names=["typical", "id"])
+            columns = [pa.array(np.concatenate(component), pa.int64()), pa.array(np.concatenate(typical), pa.int32()), pa.array(np.concatenate(members), pa.int32())]
+            yield pa.record_batch(columns, names=["component", "typical", "id"])
 
     yield from _in_groups(batches, run)
 
 
+def _by_size(core: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
+    """(component, a, b, d) of the connected components of pairs (a, b, d) that have at most ``large`` ids; and the pairs
+    (a, b, d) of the others, if there are any."""
+    placed = materialise(core.join(groups(core, "a", "b").select(F.col("vertex").cast("int").alias("a"), F.col("group").alias("component")), "a").select("component", "a", "b", "d"), "placed")
+    ids = placed.select("component", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("component").agg(F.count("*").alias("n"))
+    giants = materialise(ids.where(F.col("n") > large).select("component"), "giants")
+    if giants.isEmpty():
+        return placed, None
+    return placed.join(giants, "component", "left_anti").select(*placed.columns), placed.join(giants, "component", "left_semi").select("a", "b", "d")
+
+
+def _searched(placed: DataFrame) -> DataFrame:
+    """Pairs (component, a, b, d) -> (component, typical, id), each component by one task."""
+    return placed.repartition(shuffle_partitions(placed.sparkSession), "component").sortWithinPartitions("component").mapInArrow(_by_component, "component long, typical int, id int")
+
+
 def clusters(edges: DataFrame, large: int = LARGE) -> DataFrame:
     """(seqi, seqj, dist) -> (typical, id): every cluster's members, the most typical one among them. Ids are INT.
 
@@ -445,18 +551,12 @@ def clusters(edges: DataFrame, large: int = LARGE) -> DataFrame:
     distances, then to the smaller id. Without clusters, or on an empty table, there are no rows. Other columns
     are not read. Connected components of more than ``large`` ids take the distributed form.
     """
-    spark = edges.sparkSession
     pairs = materialise(close_pairs(edges), "close")
     core = materialise(pruned(pairs), "core")
     release(pairs)
-    placed = materialise(core.join(groups(core, "a", "b").select(F.col("vertex").cast("int").alias("a"), F.col("group").alias("component")), "a").select("component", "a", "b", "d"), "placed")
-    ids = placed.select("component", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("component").agg(F.count("*").alias("n"))
-    giants = materialise(ids.where(F.col("n") > large).select("component"), "giants")
-    small = placed if giants.isEmpty() else placed.join(giants, "component", "left_anti").select(*placed.columns)
-    found = small.repartition(shuffle_partitions(spark), "component").sortWithinPartitions("component").mapInArrow(_by_component, "typical int, id int")
-    if not giants.isEmpty():
-        found = found.unionByName(at_scale(placed.join(giants, "component", "left_semi").select("a", "b", "d")))
-    return found
+    small, giants = _by_size(core, large)
+    found = _searched(small).select("typical", "id")
+    return found if giants is None else found.unionByName(at_scale(giants, large))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

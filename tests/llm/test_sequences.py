@@ -178,3 +178,69 @@ def test_clusters_match_the_definition(spark, rows, large):
 def test_no_clusters(spark, rows):
     assert rows(similarity_clusters.clusters(spark.createDataFrame([], EDGE))) == []
     assert rows(similarity_clusters.clusters(spark.createDataFrame([(1, 1, 2, 5, "", "")], EDGE))) == []
+
+
+def sets_by_definition(ids, near):
+    """All largest sets of at least five ids, each close to two thirds of the others."""
+    found = []
+    masks = [sum(1 << k for k, j in enumerate(ids) if j in near[i]) for i in ids]
+    for mask in sorted(range(1 << len(ids)), key=int.bit_count, reverse=True):
+        n = mask.bit_count()
+        if n < 5:
+            break
+        if all(3 * (masks[k] & mask).bit_count() >= 2 * (n - 1) for k in range(len(ids)) if mask >> k & 1) and not any(mask & other == mask for other in found):
+            found.append(mask)
+    return [[i for k, i in enumerate(ids) if mask >> k & 1] for mask in found]
+
+
+def loose(seed, first):
+    """Edges of a dozen ids from first on with clusters that just hold together, bridges and close pairs between them."""
+    rng = random.Random(seed)
+    ids = list(range(first, first + 12))
+    rng.shuffle(ids)
+    edges = {}
+    for part in (ids[:5], ids[5:11]):
+        pairs = [tuple(sorted((a, b))) for n, a in enumerate(part) for b in part[n + 1 :]]
+        degree = dict.fromkeys(part, len(part) - 1)
+        rng.shuffle(pairs)
+        for a, b in pairs:
+            if all(3 * (degree[x] - 1) >= 2 * (len(part) - 1) for x in (a, b)):
+                degree[a] -= 1
+                degree[b] -= 1
+            else:
+                edges[a, b] = rng.randint(0, 300)
+    for _ in range(rng.randint(2, 12)):
+        edges.setdefault(tuple(sorted(rng.sample(ids, 2))), rng.randint(0, 300))
+    return ids, edges
+
+
+def apart(vectors, links, *salt):
+    """Seeds that find nothing: each id is its own centroid."""
+    return vectors.selectExpr("id", "id AS seed")
+
+
+@pytest.mark.parametrize("large, seeds", [(3, None), (3, apart), (8, apart)])
+def test_large_components_match_brute_force(spark, rows, monkeypatch, large, seeds):
+    if seeds:
+        monkeypatch.setattr(similarity_clusters, "k_means", seeds)
+    data, want = [], set()
+    for seed in range(150):
+        ids, edges = loose(seed, 1 + 20 * seed)
+        near = {i: {a + b - i for a, b in edges if i in (a, b)} for i in ids}
+        sets = sets_by_definition(sorted(ids), near)
+        if len({i for s in sets for i in s}) == sum(map(len, sets)):
+            data += [(0, a, b, d, "", "") for (a, b), d in edges.items()]
+            want |= {frozenset(s) for s in sets}
+    assert len(want) > 50
+    got = {}
+    for typical, member in rows(similarity_clusters.clusters(spark.createDataFrame(data, EDGE), large)):
+        got.setdefault(typical, set()).add(member)
+    assert {frozenset(s) for s in got.values()} == want
+
+
+def test_large_clusters_grow_until_no_more_come_in(spark, rows, monkeypatch):
+    monkeypatch.setattr(similarity_clusters, "k_means", lambda vectors, links, *salt: vectors.selectExpr("id", "IF(id <= 5, 1, id) AS seed"))
+    # 6 is close to four of five; 7 to three of five, but to four of six.
+    close = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)] + [(k, 6) for k in (1, 2, 3, 4)] + [(k, 7) for k in (1, 2, 5, 6)]
+    df = spark.createDataFrame([(0, a, b, 100, "", "") for a, b in close], EDGE)
+    assert rows(similarity_clusters.clusters(df, 3)) == [(1, k) for k in range(1, 8)]
