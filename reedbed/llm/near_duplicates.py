@@ -6,10 +6,10 @@ of any two of their records allows the similarity, and compares records exactly
 a tree are loose where records have little in common, so one tree over everything would compare nearly all of
 them. Therefore records first go into blocks, one tree each: a record has several *anchors* (minima of its
 tokens under random orders, tokens that are frequent in the corpus coming last), and records that share an
-anchor and two of six further minima of it share a block. A pair of similarity 0.6 misses all ten anchors
-with a probability of about 2e-4, one of 0.7 of about 4e-6; this is the only inexact step. A record of which
-many tokens are frequent has more anchors, and if most may be, also some in which those don't come last: it
-belongs to a large family.
+anchor and two of its six others, further minima that no other anchor has, share a block. This is the only inexact
+step: a lone pair of similarity 0.6 misses all ten anchors with a probability of about 2e-4 (ten anchors that see
+0.53: 1.3e-3; thirty that see 0.38: 6e-5), taking minima as independent. A record of which many tokens are frequent
+has more anchors, and if most may be, also some in which those don't come last: it belongs to a large family.
 
 Copies (equal letters) are one record here, known by a hash of its letters, and get their ids back at the end.
 """
@@ -31,7 +31,7 @@ from reedbed.plans.runtime import materialise, release, shuffle_partitions, tabl
 RUN = 8
 #: Similarity as a fraction of integers, so that comparisons are exact.
 SIMILARITY = (6, 10)
-ANCHORS, OTHERS, POOL, AGREE_BITS = 10, 6, 20, 10
+ANCHORS, OTHERS, AGREE_BITS = 10, 6, 10
 #: A token is frequent if it occurs more often than this share of the number of records.
 FREQUENT = 0.015
 #: Shares of frequent tokens above which a record has MORE anchors, and above which it also has anchors that treat all
@@ -161,35 +161,40 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.nulls(len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(counts, pa.binary())], schema=schema)
 
 
-def _orders() -> tuple[np.ndarray, list[list[int]]]:
-    """Factors of the random orders of tokens, the pool's first, and which of the pool go with each anchor."""
-    rng = np.random.default_rng(20)
-    factors = rng.integers(0, 1 << 32, POOL + ANCHORS + MORE, dtype=np.uint32) | 1
-    return factors, [sorted(rng.permutation(POOL)[:OTHERS].tolist()) for _ in range(ANCHORS + MORE)]
+def _orders() -> np.ndarray:
+    """Factors of the random orders of tokens: a row for each anchor, its own first and then one for two of its others."""
+    return np.random.default_rng(20).integers(0, 1 << 32, (ANCHORS + MORE, 1 + OTHERS // 2), dtype=np.uint32) | 1
 
 
 def _anchors(frequent: np.ndarray):
     """(record, letters) -> rows (anchor, others, record), ANCHORS of them for most records. others: OTHERS minima of
     AGREE_BITS each."""
-    factors, chosen = _orders()
+    factors = _orders()
     late = np.zeros(BINS, np.uint32)
     late[frequent] = 1 << 31
 
     def rows(base: np.ndarray, last: np.ndarray | None, counts: np.ndarray, records: np.ndarray, anchors: int) -> pa.RecordBatch:
         first = np.cumsum(counts) - counts
-        least = np.empty((POOL + anchors, len(counts)), np.uint64)
-        for k in range(POOL + anchors):
-            x = base * factors[k]
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            x >>= np.uint32(1)
-            if last is not None:
-                x |= last
-            least[k] = np.minimum.reduceat(x, first)
+
+        def least(x: np.ndarray) -> np.ndarray:
+            return np.minimum.reduceat(x if last is None else x | last, first).astype(np.uint64)
+
         kind = 0 if last is not None else 128
-        keys = np.concatenate([mixed(least[POOL + k] << np.uint64(8) | np.uint64(k + kind)) for k in range(anchors)])
-        short = mixed(least[:POOL] + np.arange(POOL, dtype=np.uint64)[:, None] * np.uint64(1 << 40)) >> np.uint64(64 - AGREE_BITS)
-        others = np.concatenate([sum(short[x] << np.uint64(AGREE_BITS * n) for n, x in enumerate(row)) for row in chosen[:anchors]])
+        keys, others = np.empty((anchors, len(counts)), np.uint64), np.zeros((anchors, len(counts)), np.uint64)
+        for k in range(anchors):
+            for n, factor in enumerate(factors[k]):
+                x = base * factor
+                x ^= x >> np.uint32(15)
+                x *= np.uint32(0x2C1B3C6D)
+                x >>= np.uint32(1)
+                if not n:
+                    keys[k] = mixed(least(x) << np.uint64(8) | np.uint64(k + kind))
+                    continue
+                # The order and its reverse: two minima for one hash.
+                for at, found in ((2 * n - 2, least(x)), (2 * n - 1, least(x ^ np.uint32(0x7FFFFFFF)))):
+                    short = mixed(found + np.uint64((k * OTHERS + at) << 40)) >> np.uint64(64 - AGREE_BITS)
+                    others[k] |= short << np.uint64(AGREE_BITS * at)
+        keys, others = keys.ravel(), others.ravel()
         return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(others.view(np.int64)), pa.array(np.tile(records, anchors), pa.int64())], names=["anchor", "others", "record"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reedbed.llm import format_duplicates, match_groups, near_duplicates, similarity_clusters
@@ -244,3 +245,23 @@ def test_large_clusters_grow_until_no_more_come_in(spark, rows, monkeypatch):
     close = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)] + [(k, 6) for k in (1, 2, 3, 4)] + [(k, 7) for k in (1, 2, 5, 6)]
     df = spark.createDataFrame([(0, a, b, 100, "", "") for a, b in close], EDGE)
     assert rows(similarity_clusters.clusters(df, 3)) == [(1, k) for k in range(1, 8)]
+
+
+def test_lone_pairs_with_a_conserved_stretch_share_a_block():
+    """A third of the tokens is frequent, and the others' similarity is 0.4; each pair has thirty anchors."""
+    rng = random.Random(3)
+    letters = lambda n: bytes(rng.choices(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
+    conserved = letters(100)
+    token, _ = near_duplicates.tokens(np.frombuffer(conserved, np.uint8), np.array([0]), np.array([100]))
+    frequent = np.unique(near_duplicates._hashed(token) >> 16).astype(np.int64)
+    texts = []
+    for _ in range(3000):
+        both = letters(105)
+        texts += [conserved + both + letters(80), conserved + both + letters(80)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(near_duplicates.packed(texts), pa.binary())], names=["record", "letters"])
+    blocks = {}
+    for found in near_duplicates._stars(near_duplicates._anchors(frequent)([batch])):
+        for lead, record in zip(*(c.to_pylist() for c in found.columns)):
+            blocks.setdefault(record, set()).add(lead)
+    missed = [k for k in range(0, len(texts), 2) if not blocks.get(k, set()) & blocks.get(k + 1, set())]
+    assert missed == []
