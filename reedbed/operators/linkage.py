@@ -151,6 +151,22 @@ def snapshots(merges: DataFrame, ids: DataFrame, cutoffs: list[int]) -> DataFram
     return out
 
 
+def mergeable(snap: DataFrame, edges: DataFrame, method: str, psi: int | None = None) -> DataFrame:
+    """(cutoff, a, b), a < b: clusters of snapshots (cutoff, id, cluster) of complete or average linkage that should be one at
+    the cutoff, as all pairs of their members have edges up to it, or as their mean distance is at most it."""
+    far = psi if psi is not None else (edges.agg(F.max("dist")).first()[0] or 0)
+    size = snap.groupBy("cutoff", "cluster").agg(F.count("*").alias("n"))
+    i, j = snap.select("cutoff", F.col("id").alias("i"), F.col("cluster").alias("a")), snap.select("cutoff", F.col("id").alias("j"), F.col("cluster").alias("b"))
+    between = edges.select("i", "j", "dist").join(i, "i").join(j, ["cutoff", "j"]).where("a <> b")
+    if method == "complete":
+        between = between.where("dist <= cutoff")
+    met = between.groupBy("cutoff", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("seen"), F.sum("dist").alias("total"))
+    met = met.join(size.select("cutoff", F.col("cluster").alias("a"), F.col("n").alias("na")), ["cutoff", "a"]).join(size.select("cutoff", F.col("cluster").alias("b"), F.col("n").alias("nb")), ["cutoff", "b"])
+    pairs = F.col("na") * F.col("nb")
+    due = F.col("seen") == pairs if method == "complete" else F.col("total") + far * (pairs - F.col("seen")) <= F.col("cutoff") * pairs
+    return met.where(due).select("cutoff", "a", "b")
+
+
 def single_labels(edges: DataFrame, ids: DataFrame, cutoff: int) -> DataFrame:
     """Single linkage at a cutoff: the components of the edges up to it."""
     return labels_at(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "dist"), ids, cutoff)

@@ -12,7 +12,7 @@ from reedbed.operators import dereplicate as derep
 from reedbed.operators import distances, linkage, mappings, otu, representatives
 from reedbed.operators.numbering import numbered
 from reedbed.plans import views
-from reedbed.plans.runtime import shared_dir, shuffle_partitions, table
+from reedbed.plans.runtime import materialise, shared_dir, shuffle_partitions, table
 from reedbed.plans.views import with_views
 from reedbed.sources import binary, text
 
@@ -417,6 +417,34 @@ def upgma_merges(spark, d):
     return linkage.linkage(views.edges(spark, d), "average")
 
 
+def _snapshots(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """(cutoff, cluster, id) at every cutoff of the series."""
+    cutoffs = sorted(r.cutoff for r in cutoff_series(spark, d).collect())
+    return linkage.snapshots(linkage.linkage(views.edges(spark, d), method), views.linked(spark, d), cutoffs).select("cutoff", "cluster", "id")
+
+
+@query()
+def complete_snapshots(spark, d):
+    return _snapshots(spark, d, "complete")
+
+
+@query()
+def upgma_snapshots(spark, d):
+    return _snapshots(spark, d, "average")
+
+
+@query()
+def complete_left_apart(spark, d):
+    """Clusters at a cutoff that complete linkage should have merged: none."""
+    return linkage.mergeable(materialise(complete_snapshots(spark, d), "snapshots"), views.edges(spark, d), "complete")
+
+
+@query()
+def upgma_left_apart(spark, d):
+    """Clusters at a cutoff that average linkage should have merged: none."""
+    return linkage.mergeable(materialise(upgma_snapshots(spark, d), "snapshots"), views.edges(spark, d), "average")
+
+
 def _violations(spark: SparkSession, d: str, method: str) -> DataFrame:
     """For each cutoff: ids in all, ids that are in other than one cluster, and for complete linkage the pairs in one
     cluster that are farther apart than the cutoff."""

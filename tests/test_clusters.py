@@ -99,3 +99,29 @@ def test_long_sequences_and_case(spark, rows):
 def test_order_breaks(spark, rows):
     df = spark.createDataFrame([(k, d) for k, d in enumerate([1, 2, 5, 3, 4, 4, 2, 9])], "row_no long, dist int")
     assert rows(order_breaks(df, "row_no").select("row_no", "previous")) == [(3, 5), (6, 4)]
+
+
+@pytest.mark.parametrize("method", ["complete", "average"])
+def test_a_linkage_that_never_merges_is_found_out(spark, rows, method):
+    edges, ids = frame(spark, EDGES), spark.createDataFrame([(k,) for k in range(1, 6)], "id int")
+    merges = linkage.linkage(edges, method)
+    assert rows(linkage.mergeable(linkage.snapshots(merges, ids, [0, 3, 6]), edges, method)) == []
+    none = linkage.snapshots(merges.limit(0), ids, [0, 1])
+    assert rows(linkage.mergeable(none, edges, method)) == [(0, 1, 2), (1, 1, 2), (1, 1, 3)]
+
+
+@pytest.mark.parametrize("name", ["complete", "upgma"])
+def test_snapshots_at_every_step(spark, name):
+    import os
+
+    from reedbed.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    got = QUERIES[f"{name}_snapshots"](spark, folder)
+    assert got.columns == ["cutoff", "cluster", "id"]
+    times = {r["cutoff"]: r["count"] for r in got.groupBy("cutoff").count().collect()}
+    assert set(times) == {r.cutoff for r in QUERIES["cutoff_series"](spark, folder).collect()}
+    assert len(set(times.values())) == 1
+    assert QUERIES[f"{name}_left_apart"](spark, folder).count() == 0
