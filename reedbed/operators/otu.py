@@ -65,6 +65,14 @@ def wide(snap: DataFrame, cutoff: int) -> DataFrame:
     return named.withColumn("sample", sample_label(F.col("sample"))).groupBy("sample").pivot("otu").agg(F.sum("n")).na.fill(0)
 
 
+def rows(snap: DataFrame) -> DataFrame:
+    """(cutoff, sample, otus, counts): the tables of all cutoffs, one row a sample, with arrays in place of columns, so
+    without a limit of clusters. Zeros are there; otus are in order of their names."""
+    named = dense(snap).join(otu_names(snap), ["cutoff", "cluster_no"]).groupBy("cutoff", sample_label(F.col("sample")).alias("sample"), "otu").agg(F.sum("n").alias("n"))
+    cells = named.groupBy("cutoff", "sample").agg(F.array_sort(F.collect_list(F.struct("otu", "n"))).alias("cells"))
+    return cells.select("cutoff", "sample", F.col("cells.otu").alias("otus"), F.col("cells.n").alias("counts"))
+
+
 def biom_rows(snap: DataFrame) -> DataFrame:
     """(cutoff, row, column_id, value): cells of the dense matrix, clusters as rows, samples as columns."""
     return dense(snap).select("cutoff", F.concat(F.lit("cluster_"), "cluster_no").alias("row"), F.col("sample").alias("column_id"), F.col("n").alias("value"))

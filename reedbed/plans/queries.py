@@ -528,6 +528,26 @@ def biom_json(spark, d):
     return otu.biom_rows(views.snap(spark, d))
 
 
+@query(ORACLES["biom_json"])
+def biom_parsed(spark, d):
+    """Cells read back from the documents of all cutoffs."""
+    snap = views.snap(spark, d)
+    out = None
+    for r in snap.select("cutoff").distinct().orderBy("cutoff").collect():
+        lines = otu.biom_json(snap, r.cutoff, "2031-01-01")
+        columns = lines.where("id = ''").select(F.from_json("json", "columns array<string>").getField("columns").alias("columns"))
+        data = lines.where("id <> ''").select(F.from_json("json", "id string, data array<bigint>").alias("line"))
+        cells = data.join(F.broadcast(columns)).select(F.lit(r.cutoff).alias("cutoff"), F.col("line.id").alias("row"), F.inline(F.arrays_zip(F.col("columns").alias("column_id"), F.col("line.data").alias("value"))))
+        cells = cells.toDF("cutoff", "row", "column_id", "value")
+        out = cells if out is None else out.unionByName(cells)
+    return otu.biom_rows(snap) if out is None else out
+
+
+@query()
+def otu_rows(spark, d):
+    return otu.rows(views.snap(spark, d))
+
+
 @query(with_views("edges", "linked") + ", m AS (SELECT i, j, dist FROM edges UNION ALL SELECT j, i, dist FROM edges) SELECT l.id, COUNT(m.dist) AS known, COALESCE(SUM(m.dist), 0) - (SELECT COUNT(*) FROM linked) + 1 + COUNT(m.dist) AS row_sum FROM linked l LEFT JOIN m ON m.i = l.id GROUP BY l.id")
 def square_matrix(spark, d):
     """Each row of the square matrix by its known cells and its sum, with -1 for every unknown cell and 0 on the

@@ -126,3 +126,24 @@ def test_stream(spark, rows, tmp_path):
         query.awaitTermination(60)
     assert sorted(r.bases for r in spark.table("first").collect()) in (["AC-GT", "TT"], ["ACGT", "TT"])
     assert sum(r.n for r in spark.table("counts").collect()) == 3
+
+
+def test_rows_are_the_wide_table(spark):
+    data = [(100, 1, "aligned_s", 1), (100, 1, "aligned_s", 2), (100, 12, "t", 3), (200, 1, "t", 1)]
+    snap = spark.createDataFrame(data, "cutoff int, cluster_no int, sample string, seq_id int")
+    got = {r.sample: dict(zip(r.otus, r.counts)) for r in otu.rows(snap).where("cutoff = 100").collect()}
+    want = {r.sample: {k: v for k, v in r.asDict().items() if k != "sample"} for r in otu.wide(snap, 100).collect()}
+    assert got == want == {"s": {"OTU_01": 2, "OTU_12": 0}, "t": {"OTU_01": 0, "OTU_12": 1}}
+
+
+def test_documents_come_back_as_their_cells(spark, rows):
+    import os
+
+    from reedbed.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    got, want = QUERIES["biom_parsed"](spark, folder), QUERIES["biom_json"](spark, folder)
+    assert got.dtypes == want.dtypes
+    assert rows(got) == rows(want) != []
