@@ -45,7 +45,7 @@ def test_near_duplicates_match_brute_force(spark, rows):
     df = spark.createDataFrame(data, SEQ)
     assert rows(near_duplicates.similar_pairs(df)) == sorted(brute(items), key=repr)
     # Blocks that are cut into a grid give the same.
-    assert rows(near_duplicates.similar_pairs(df, part=10)) == sorted(brute(items), key=repr)
+    assert rows(near_duplicates.similar_pairs(df, tree=10)) == sorted(brute(items), key=repr)
 
 
 def test_near_duplicates_of_little(spark, rows):
@@ -53,13 +53,39 @@ def test_near_duplicates_of_little(spark, rows):
     assert rows(near_duplicates.similar_pairs(spark.createDataFrame([(1, 5, b"ACGTTGCA", "", "", 1), (2, 4, b"acgt tgca", "", "", 1)], SEQ))) == [(4, 5)]
 
 
-def test_tree_matches_direct_comparison():
+def test_trees_match_direct_comparison():
     rng = random.Random(1)
     texts = [near_duplicates.letters_of(b) for _ in range(12) for b in family(rng, 20, 150, 10)]
+    texts += [b"ACGTACGTNN", b"ACGTACGTNNN", b"A" * 3000, b"A" * 2000 + b"C", bytes(rng.choices(b"ACGT", k=20_000))]
     items = near_duplicates.packed(texts)
-    i, j = near_duplicates.block_pairs(np.zeros(len(items), int), items, leaf=8)
+    i, j = near_duplicates.block_pairs(np.zeros(len(items), int), items, leaf=3)
     direct = {(min(a, b), max(a, b)) for a, b in brute(list(enumerate(texts)))}
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == direct
+    # In blocks: the pairs of each block, whatever its size.
+    block = np.sort(np.array([rng.randrange(40) for _ in texts]))
+    block = np.unique(block, return_inverse=True)[1]
+    i, j = near_duplicates.block_pairs(block, items)
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == {(a, b) for a, b in direct if block[a] == block[b]}
+
+
+def test_traversal_prunes_pairs_of_nodes():
+    """Families that are together by chance: nearly all pairs of leaves and of records go without an exact comparison."""
+    rng = random.Random(3)
+    texts = [near_duplicates.letters_of(b) for _ in range(60) for b in family(rng, 8, 200, 6)]
+    tally = []
+    i, _ = near_duplicates.block_pairs(np.zeros(len(texts), int), near_duplicates.packed(texts), tally=tally)
+    assert len(i) > 1000
+    (leaves, followed), (_, records) = tally[-3], tally[-1]
+    assert followed < leaves / 5 and records < len(texts) ** 2 / 2 / 20 and records >= len(i)
+
+
+def test_near_duplicates_by_record(spark, rows):
+    rng = random.Random(4)
+    texts = family(rng, 6, 200, 4)
+    data = [(n, i, b, "", "", 1) for n, (i, b) in enumerate([*enumerate(texts, 1), *((k, texts[0]) for k in range(50, 90)), (1, texts[0])])]
+    pairs, copies = near_duplicates.similar_records(spark.createDataFrame(data, SEQ).repartition(4))
+    assert len(set(rows(pairs.select("a", "b")))) == 15
+    assert len(set(rows(copies))) == 41 and len(set(rows(copies.select("record")))) == 1
 
 
 def test_packing_of_letters():
@@ -248,19 +274,19 @@ def test_large_clusters_grow_until_no_more_come_in(spark, rows, monkeypatch):
 
 
 def test_lone_pairs_with_a_conserved_stretch_share_a_block():
-    """A third of the tokens is frequent, and the others' similarity is 0.4; each pair has thirty anchors."""
+    """A third of the tokens is frequent, and the others' similarity is 0.4."""
     rng = random.Random(3)
     letters = lambda n: bytes(rng.choices(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=n))
     conserved = letters(100)
-    token, _ = near_duplicates.tokens(np.frombuffer(conserved, np.uint8), np.array([0]), np.array([100]))
-    frequent = np.unique(near_duplicates._hashed(token) >> 16).astype(np.int64)
+    run, _ = near_duplicates.long_runs(np.frombuffer(conserved, np.uint8), np.array([0]), np.array([100]))
+    frequent = np.unique(run >> near_duplicates._BIN).astype(np.int64)
     texts = []
     for _ in range(3000):
         both = letters(105)
         texts += [conserved + both + letters(80), conserved + both + letters(80)]
     batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(near_duplicates.packed(texts), pa.binary())], names=["record", "letters"])
     blocks = {}
-    for found in near_duplicates._stars(near_duplicates._anchors(frequent)([batch])):
+    for found in near_duplicates._stars(near_duplicates._anchors(frequent, 1)([batch])):
         for lead, record in zip(*(c.to_pylist() for c in found.columns)):
             blocks.setdefault(record, set()).add(lead)
     missed = [k for k in range(0, len(texts), 2) if not blocks.get(k, set()) & blocks.get(k + 1, set())]
