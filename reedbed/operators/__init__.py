@@ -1 +1 @@
-"""Relational and clustering operators; each takes and returns DataFrames."""
+"""Relational and linkage operators; each takes and returns DataFrames."""

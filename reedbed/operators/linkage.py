@@ -1,52 +1,59 @@
-"""Agglomerative clustering of a sparse distance matrix, snapshots at cutoffs, trees.
+"""Linkage of a sparse distance matrix into nested clusters, snapshots at cutoffs, trees.
 
 Clusters are named by their smallest member. A merge of ``a`` and ``b``, a < b, lets ``a`` stand for both, so the
 merges are a forest: every name but a root's goes away once, at one distance, and distances don't fall on the way
-up. Edges of different connected components never meet, so each component is clustered on its own; single linkage
-needs no order at all and stays in joins.
+up. Single linkage needs no order, only the spanning forest of the shortest edges, which is found in joins. Complete linkage
+merges two clusters at the last of their edges, so edges are taken in bands of their distances: only clusters that the
+band's own edges join can merge in it, and what it saw is kept as counts. Average linkage clusters each connected
+component on its own.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reedbed.operators.components import components
-from reedbed.plans.runtime import materialise
+from reedbed.plans.runtime import materialise, release
 
 MERGES = "component long, step int, a long, b long, dist double, members int"
 
 
-def _complete(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int, float, int]]:
-    """Two clusters merge once all pairs of their members have been seen, at the distance of the last one."""
-    name: dict[int, int] = {}
-    members: dict[int, list[int]] = {}
-    seen: dict[int, dict[int, int]] = {}
+def _complete(events: list[tuple[int, int, int, int, int]], seen_before: list[tuple[int, int, int]], sizes: dict[int, int]) -> list[tuple[int, int, int, int, int, int]]:
+    """Events (dist, i, j, a, b) in order, counts (a, b, n) of the pairs of their clusters seen before, and the clusters'
+    sizes, to merges (a, b, dist, i, j, members): two clusters merge once all pairs of their members have been seen, at the
+    distance of the last one."""
+    name = {x: x for x in sizes}
+    parts = {x: [x] for x in sizes}
+    members = dict(sizes)
+    seen: dict[int, dict[int, int]] = {x: {} for x in sizes}
+    for a, b, n in seen_before:
+        seen[a][b] = seen[b][a] = n
     out = []
-    for i, j, dist in edges:
-        for x in (i, j):
-            if x not in name:
-                name[x], members[x], seen[x] = x, [x], {}
-        a, b = sorted((name[i], name[j]))
+    for dist, i, j, x, y in events:
+        a, b = sorted((name[x], name[y]))
         if a == b:
             continue
         count = seen[a].get(b, 0) + 1
         seen[a][b] = seen[b][a] = count
-        if count < len(members[a]) * len(members[b]):
+        if count < members[a] * members[b]:
             continue
-        for x in members[b]:
-            name[x] = a
+        for part in parts[b]:
+            name[part] = a
+        parts[a] += parts.pop(b)
         members[a] += members.pop(b)
         del seen[a][b]
         for c, n in seen.pop(b).items():
             if c != a:
                 del seen[c][b]
                 seen[a][c] = seen[c][a] = seen[a].get(c, 0) + n
-        out.append((a, b, float(dist), len(members[a])))
+        out.append((a, b, dist, i, j, members[a]))
     return out
 
 
@@ -107,22 +114,148 @@ def _single(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int,
     return out
 
 
-METHODS: dict[str, Callable] = {"complete": _complete, "average": _average, "single": _single}
+METHODS = ("complete", "average", "single")
+#: Edges that a band of complete linkage has at least.
+BAND_EDGES = 20_000
+_MERGED = "a long, b long, dist int, i long, j long, members int"
+
+
+def _bands(edges: DataFrame, least: int) -> list[int]:
+    """Upper ends of bands of distances with about so many edges as there may be without most of the clusters hanging
+    together: two fifths of the ids', and ``least`` of them anyway."""
+    wanted = max(least, int(0.4 * edges.select(F.explode(F.array("i", "j"))).distinct().count()))
+    ends, held = [], 0
+    for dist, n in edges.groupBy("dist").count().orderBy("dist").collect():  # at most SCALE + 1 rows
+        held += n
+        ends.append(dist)
+        if held < wanted:
+            ends.pop()
+        else:
+            held = 0
+    return [*ends, dist] if held else ends
+
+
+def _complete_merges(edges: DataFrame, least: int) -> DataFrame:
+    """(a, b, dist, i, j, members) of complete linkage, by bands of edges. In each, edges get their clusters' names, and the
+    clusters that they join, with the counts of pairs seen between those before, are one piece of work."""
+    spark = edges.sparkSession
+    if edges.isEmpty():
+        return spark.createDataFrame([], _MERGED)
+    seen = moved = out = None
+    low = -1
+    for high in _bands(edges, least):
+        band = edges.where((F.col("dist") > low) & (F.col("dist") <= high))
+        low = high
+        if moved is not None:
+            a, b = moved.select(F.col("id").alias("i"), F.col("cluster").alias("a"), F.col("size").alias("na")), moved.select(F.col("id").alias("j"), F.col("cluster").alias("b"), F.col("size").alias("nb"))
+            band = band.join(a, "i", "left").join(b, "j", "left")
+            band = band.select("i", "j", "dist", F.coalesce("a", "i").alias("a"), F.coalesce("b", "j").alias("b"), F.coalesce("na", F.lit(1)).alias("na"), F.coalesce("nb", F.lit(1)).alias("nb"))
+        else:
+            band = band.select("i", "j", "dist", F.col("i").alias("a"), F.col("j").alias("b"), F.lit(1).alias("na"), F.lit(1).alias("nb"))
+        band = materialise(band.where("a <> b"), "band")
+        part = materialise(components(band, "a", "b"), "parts")
+        rows = band.join(part.select(F.col("id").alias("a"), "component"), "a").select("component", F.lit(0).alias("kind"), F.col("dist").cast("long").alias("x"), F.col("i").alias("y"), F.col("j").alias("z"), "a", "b", "na", "nb")
+        if seen is not None:
+            old = seen.join(part.select(F.col("id").alias("a"), "component"), "a").join(part.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").where("component = other")
+            rows = rows.unionByName(old.select("component", F.lit(1).alias("kind"), F.col("n").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "a", "b", F.lit(0).alias("na"), F.lit(0).alias("nb")))
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            new = rows[rows["kind"] == 0].sort_values(["x", "y", "z"])
+            before = rows[rows["kind"] == 1]
+            sizes = dict(zip(new["a"].tolist(), new["na"].tolist())) | dict(zip(new["b"].tolist(), new["nb"].tolist()))
+            merges = _complete(list(zip(*(new[c].tolist() for c in ("x", "y", "z", "a", "b")))), list(zip(before["a"].tolist(), before["b"].tolist(), before["x"].tolist())), sizes)
+            return pd.DataFrame(merges, columns=["a", "b", "dist", "i", "j", "members"])
+
+        merges = materialise(rows.groupBy("component").applyInPandas(run, _MERGED), "merges")
+        out = merges if out is None else out.unionByName(merges)
+        # Ids of clusters of several: those of before under their new names, and those that were alone.
+        to = components(merges, "a", "b").select(F.col("id").alias("cluster"), F.col("component").alias("to"))
+        alone = to.select(F.col("cluster").alias("id"), F.col("to").alias("cluster"))
+        if moved is not None:
+            kept = moved.select("id", "cluster").join(to, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))
+            alone = kept.unionByName(alone.join(moved.select("id"), "id", "left_anti"))
+        alone = materialise(alone, "moved")
+        moved = materialise(alone.join(alone.groupBy("cluster").agg(F.count("*").cast("int").alias("size")), "cluster").select("id", "cluster", "size"), "moved")
+        counted = band.select("a", "b", F.lit(1).cast("long").alias("n"))
+        counted = counted if seen is None else counted.unionByName(seen.select("a", "b", "n"))
+        for end in ("a", "b"):
+            counted = counted.join(to.select(F.col("cluster").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        before = seen
+        seen = materialise(counted.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n")), "seen")
+        release(band, part, alone, *([before] if before is not None else []))
+    return out
+
+
+def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (i, j, dist) of a task without those that close a circle of shorter ones. They are reduced whenever many have
+    come together, so memory follows the task's ids."""
+
+    def reduced(rows: list[np.ndarray]) -> list[np.ndarray]:
+        i, j, dist = (x[np.lexsort((rows[1], rows[0], rows[2]))] for x in rows)
+        ids, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        parent = list(range(len(ids)))
+        keep = np.zeros(len(i), bool)
+        for k, (x, y) in enumerate(zip(at[: len(i)].tolist(), at[len(i) :].tolist())):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                keep[k] = True
+        return [x[keep] for x in (i, j, dist)]
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        if sum(len(x[0]) for x in held) > 1_000_000:
+            held = [reduced([np.concatenate(x) for x in zip(*held)])]
+    if held:
+        yield pa.record_batch([pa.array(x) for x in reduced([np.concatenate(x) for x in zip(*held)])], names=["i", "j", "dist"])
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(i, j, dist): of each component the edges by which single linkage merges, with ties taken by (dist, i, j).
+
+    Tasks drop what closes a circle among their own edges first. Then, in rounds, each cluster takes its shortest edge to
+    another, and clusters so joined are one; at least half of them go in every round. No task holds a component."""
+    left = materialise(edges.select("i", "j", "dist").mapInArrow(_forest_rows, "i long, j long, dist int").withColumn("a", F.col("i")).withColumn("b", F.col("j")), "forest")
+    out = edges.sparkSession.createDataFrame([], "i long, j long, dist int")
+    while not left.isEmpty():
+        ends = left.select(F.inline(F.array(F.struct(F.col("a").alias("cluster"), "dist", "i", "j"), F.struct(F.col("b").alias("cluster"), "dist", "i", "j"))))
+        nearest = ends.groupBy("cluster").agg(F.min(F.struct("dist", "i", "j")).alias("e")).select("e.i", "e.j", "e.dist").distinct()
+        chosen = materialise(left.join(nearest, ["i", "j", "dist"], "left_semi"), "forest")
+        out = out.unionByName(chosen.select("i", "j", "dist"))
+        to = materialise(components(chosen, "a", "b"), "joined")
+        after = left
+        for end in ("a", "b"):
+            after = after.join(to.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        after = materialise(after.where("a <> b").select("i", "j", "dist", "a", "b"), "forest")
+        release(left, to)
+        left = after
+    return out
 
 
-def linkage(edges: DataFrame, method: str, psi: int | None = None) -> DataFrame:
+def linkage(edges: DataFrame, method: str, psi: int | None = None, band: int = BAND_EDGES) -> DataFrame:
     """(i, j, dist), one row a pair, to merges (component, step, a, b, dist, members).
 
     Edges are taken by (dist, i, j), so ties have one order. ``psi`` (average only) stands for pairs without an edge;
-    by default the largest distance of all edges. One component's edges must fit a Python worker: complete and
-    average linkage are sequential within a component.
+    by default the largest distance of all edges. Complete linkage takes edges in bands of at least ``band``; a task has the
+    edges of a band that hang together. For average linkage one component's edges must fit a Python worker, for the
+    order of single linkage's merges one component's ids.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
-    kernel = METHODS[method]
     edges = edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dist").cast("int").alias("dist"))
+    edges = materialise(edges, "edges")
+    of = components(edges)
+    if method == "complete":
+        step = F.row_number().over(Window.partitionBy("component").orderBy("dist", "i", "j"))
+        merges = _complete_merges(edges, band).join(of.withColumnRenamed("id", "a"), "a")
+        return merges.select("component", step.alias("step"), "a", "b", F.col("dist").cast("double").alias("dist"), "members")
     far = psi if psi is not None else (edges.agg(F.max("dist")).first()[0] or 0)
-    placed = edges.join(components(edges).withColumnRenamed("id", "i"), "i")
+    kernel = _average if method == "average" else _single
+    placed = (edges if method == "average" else spanning_forest(edges)).join(of.withColumnRenamed("id", "i"), "i")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["dist", "i", "j"])
@@ -142,13 +275,17 @@ def labels_at(merges: DataFrame, ids: DataFrame, cutoff: float) -> DataFrame:
 
 
 def snapshots(merges: DataFrame, ids: DataFrame, cutoffs: list[int]) -> DataFrame:
-    """(cutoff, id, cluster) for each of the cutoffs."""
-    merges = materialise(merges, "merges")
-    out = None
-    for cutoff in cutoffs:
-        one = labels_at(merges, ids, cutoff).select(F.lit(cutoff).alias("cutoff"), "id", "cluster")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(cutoff, id, cluster) for each of the cutoffs. An id at a cutoff is a vertex of its own, so one search for
+    components finds the clusters of all."""
+    if not cutoffs:
+        return ids.select(F.lit(0).alias("cutoff"), "id", F.col("id").cast("long").alias("cluster")).limit(0)
+    n = len(cutoffs)
+    listed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("cutoff")) for k, c in enumerate(cutoffs)])
+    due = merges.select("a", "b", "dist", F.inline(listed)).where("dist <= cutoff")
+    found = components(due.select((F.col("a") * n + F.col("k")).alias("a"), (F.col("b") * n + F.col("k")).alias("b")), "a", "b")
+    at = ids.select(F.col("id")).distinct().select("id", F.inline(listed)).withColumn("vertex", F.col("id").cast("long") * n + F.col("k"))
+    named = at.join(found.withColumnRenamed("id", "vertex"), "vertex", "left")
+    return named.select("cutoff", "id", F.when(F.col("component").isNull(), F.col("id").cast("long")).otherwise(((F.col("component") - F.col("k")) / n).cast("long")).alias("cluster"))
 
 
 def mergeable(snap: DataFrame, edges: DataFrame, method: str, psi: int | None = None) -> DataFrame:
@@ -167,6 +304,35 @@ def mergeable(snap: DataFrame, edges: DataFrame, method: str, psi: int | None =
     return met.where(due).select("cutoff", "a", "b")
 
 
+def between(merges: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, step, seen, total, na, nb): for each merge the edges between its two clusters as they were then, the sum
+    of their distances, and the clusters' sizes, counted anew from the edges of the smaller one's members."""
+    placed = edges.join(merges.select(F.col("component").alias("own"), F.explode(F.array("a", "b")).alias("i")).distinct(), "i")
+
+    def run(log: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[tuple[int, int]]] = {}
+        for i, j, dist in zip(rows["i"].tolist(), rows["j"].tolist(), rows["dist"].tolist()):
+            near.setdefault(i, []).append((j, dist))
+            near.setdefault(j, []).append((i, dist))
+        members = {x: [x] for x in near}
+        home = {x: x for x in near}
+        out = []
+        log = log.sort_values("step")
+        for component, step, a, b in zip(*(log[c].tolist() for c in ("component", "step", "a", "b"))):
+            na, nb = len(members[a]), len(members[b])
+            small, large = (a, b) if na < nb else (b, a)
+            met = [dist for x in members[small] for y, dist in near[x] if home[y] == home[members[large][0]]]
+            out.append((component, step, len(met), sum(met), na, nb))
+            for x in members[small]:
+                home[x] = home[members[large][0]]
+            members[large] += members.pop(small)
+            members[a] = members.pop(large)
+        return pd.DataFrame(out, columns=["component", "step", "seen", "total", "na", "nb"])
+
+    grouped = merges.groupBy("component").cogroup(placed.groupBy("own"))
+    return grouped.applyInPandas(run, "component long, step int, seen long, total long, na long, nb long")
+
+
 def single_labels(edges: DataFrame, ids: DataFrame, cutoff: int) -> DataFrame:
     """Single linkage at a cutoff: the components of the edges up to it."""
     return labels_at(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "dist"), ids, cutoff)

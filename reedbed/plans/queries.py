@@ -433,38 +433,32 @@ def upgma_snapshots(spark, d):
     return _snapshots(spark, d, "average")
 
 
-@query()
-def complete_left_apart(spark, d):
-    """Clusters at a cutoff that complete linkage should have merged: none."""
-    return linkage.mergeable(materialise(complete_snapshots(spark, d), "snapshots"), views.edges(spark, d), "complete")
-
-
-@query()
-def upgma_left_apart(spark, d):
-    """Clusters at a cutoff that average linkage should have merged: none."""
-    return linkage.mergeable(materialise(upgma_snapshots(spark, d), "snapshots"), views.edges(spark, d), "average")
-
-
 def _violations(spark: SparkSession, d: str, method: str) -> DataFrame:
-    """For each cutoff: ids in all, ids that are in other than one cluster, and for complete linkage the pairs in one
-    cluster that are farther apart than the cutoff."""
-    edges, ids = views.edges(spark, d), views.linked(spark, d)
-    snap = linkage.snapshots(linkage.linkage(edges, method), ids, [300, 1000, 1500])
+    """For each cutoff of the series: ids in all; ids in other than one cluster; pairs of clusters that should be one by
+    then; and for complete linkage the pairs in one cluster that are farther apart than the cutoff. A method that merges too
+    little shows in the third, one that merges too much in the fourth."""
+    edges = materialise(views.edges(spark, d), "edges")
+    snap = materialise(_snapshots(spark, d, method), "snapshots")
     times = snap.groupBy("cutoff", "id").agg(F.count("*").alias("n")).groupBy("cutoff").agg(F.count("*").alias("ids"), F.sum((F.col("n") != 1).cast("long")).alias("astray"))
+    apart = linkage.mergeable(snap, edges, method).groupBy("cutoff").agg(F.count("*").alias("left_apart"))
+    times = times.join(apart, "cutoff", "left").withColumn("left_apart", F.coalesce("left_apart", F.lit(0).cast("long")))
     if method != "complete":
-        return times
+        return times.select("cutoff", "ids", "astray", "left_apart")
     size = snap.groupBy("cutoff", "cluster").agg(F.count("*").alias("n")).groupBy("cutoff").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
     i, j = snap.select("cutoff", F.col("id").alias("i"), F.col("cluster").alias("a")), snap.select("cutoff", F.col("id").alias("j"), F.col("cluster").alias("b"))
     near = edges.join(i, "i").join(j, ["cutoff", "j"]).where("a = b AND dist <= cutoff").groupBy("cutoff").agg(F.count("*").alias("near"))
-    return times.join(size, "cutoff").join(near, "cutoff", "left").select("cutoff", "ids", "astray", (F.col("pairs") - F.coalesce("near", F.lit(0))).alias("too_far"))
+    return times.join(size, "cutoff").join(near, "cutoff", "left").select("cutoff", "ids", "astray", "left_apart", (F.col("pairs") - F.coalesce("near", F.lit(0))).alias("too_far"))
 
 
-@query(with_views("edges", "linked") + " SELECT c.c AS cutoff, COUNT(*) AS ids, 0 AS astray, 0 AS too_far FROM linked, (SELECT UNNEST([300, 1000, 1500]) AS c) c GROUP BY c.c")
+_SERIES = "series AS (SELECT DISTINCT CAST(ceil(dist / 100.0) * 100 AS INT) AS cutoff FROM edges UNION SELECT 0)"
+
+
+@query(with_views("edges", "linked") + f", {_SERIES} SELECT cutoff, COUNT(*) AS ids, 0 AS astray, 0 AS left_apart, 0 AS too_far FROM linked, series GROUP BY cutoff")
 def complete_clusters(spark, d):
     return _violations(spark, d, "complete")
 
 
-@query(with_views("edges", "linked") + " SELECT c.c AS cutoff, COUNT(*) AS ids, 0 AS astray FROM linked, (SELECT UNNEST([300, 1000, 1500]) AS c) c GROUP BY c.c")
+@query(with_views("edges", "linked") + f", {_SERIES} SELECT cutoff, COUNT(*) AS ids, 0 AS astray, 0 AS left_apart FROM linked, series GROUP BY cutoff")
 def upgma_clusters(spark, d):
     return _violations(spark, d, "average")
 
@@ -472,16 +466,51 @@ def upgma_clusters(spark, d):
 @query(_clusters_sql(1000) + " SELECT id, cluster FROM lab")
 def replay_cluster(spark, d):
     """Clusters at a cutoff from a stored merge log, here of single linkage."""
-    return linkage.labels_at(linkage.linkage(views.edges(spark, d), "single"), views.linked(spark, d), 1000)
+    merges = materialise(linkage.linkage(views.edges(spark, d), "single"), "log")
+    return linkage.labels_at(merges, views.linked(spark, d), 1000)
+
 
+_CUTS = (0, 300, 700, 1500)
 
-@query("SELECT 0 AS falls")
-def tree_heights(spark, d):
-    """Merges of average linkage that lie below one that their cluster came from."""
-    merges = linkage.linkage(views.edges(spark, d), "average")
-    below = merges.select("component", F.col("step").alias("earlier"), F.col("a").alias("x"), F.col("dist").alias("low"))
-    met = merges.select("component", "step", "dist", F.explode(F.array("a", "b")).alias("x")).join(below, ["component", "x"]).where("earlier < step AND low > dist + 0.000001")
-    return met.agg(F.count("*").cast("int").alias("falls"))
+
+@query(
+    with_views("edges", "linked", recursive=True)
+    + f""", cuts AS (SELECT UNNEST({list(_CUTS)}) AS cutoff),
+l AS (SELECT cutoff, i AS a, j AS b FROM edges, cuts WHERE dist <= cutoff UNION SELECT cutoff, j, i FROM edges, cuts WHERE dist <= cutoff),
+r(c, v, g) AS (SELECT DISTINCT cutoff, a, a FROM l UNION SELECT r.c, l.b, r.g FROM r JOIN l ON r.v = l.a AND r.c = l.cutoff WHERE r.g < l.b),
+k AS (SELECT c, v, MIN(g) AS g FROM r GROUP BY c, v)
+SELECT CAST(cuts.cutoff AS INT) AS cutoff, linked.id, COALESCE(k.g, linked.id) AS cluster FROM linked CROSS JOIN cuts LEFT JOIN k ON k.v = linked.id AND k.c = cuts.cutoff"""
+)
+def replay_series(spark, d):
+    """The same log replayed over a series of cutoffs."""
+    merges = materialise(linkage.linkage(views.edges(spark, d), "single"), "log")
+    return linkage.snapshots(merges, views.linked(spark, d), list(_CUTS))
+
+
+@query(with_views("edges", "linked", recursive=True) + ", " + _COMPONENTS.format(c=10000) + " SELECT COUNT(*) - COUNT(DISTINCT cluster) AS merges, COUNT(DISTINCT cluster) AS roots, 0 AS wrong, 0 AS falls FROM lab")
+def upgma_checked(spark, d):
+    """Merges of average linkage: how many there are, and how many clusters they leave; those whose distance isn't the mean
+    over the two clusters' pairs, counted anew from the edges; and those that lie below one that their cluster came from."""
+    edges = materialise(views.edges(spark, d), "edges")
+    merges = materialise(linkage.linkage(edges, "average"), "merges")
+    far = edges.agg(F.max("dist")).first()[0] or 0
+    met = linkage.between(merges, edges)
+    pairs = F.col("na") * F.col("nb")
+    wrong = merges.join(met, ["component", "step"], "left").where(F.col("seen").isNull() | (F.abs(F.col("dist") - (F.col("total") + far * (pairs - F.col("seen"))) / pairs) > 0.000001))
+    below = merges.select("component", F.col("step").alias("earlier"), F.explode(F.array("a", "b")).alias("x"), F.col("dist").alias("low"))
+    falls = merges.select("component", "step", "dist", F.explode(F.array("a", "b")).alias("x")).join(below, ["component", "x"]).where("earlier < step AND low > dist + 0.000001")
+    ids = views.linked(spark, d).agg(F.count("*").alias("ids"))
+    return (
+        merges.agg(F.count("*").alias("merges")).join(ids).join(wrong.agg(F.count("*").cast("int").alias("wrong"))).join(falls.agg(F.count("*").cast("int").alias("falls")))
+        .select("merges", (F.col("ids") - F.col("merges")).alias("roots"), "wrong", "falls")
+    )
+
+
+@query(with_views("edges", "linked", recursive=True) + ", " + _COMPONENTS.format(c=10000) + " SELECT cluster AS component, id AS leaf FROM lab")
+def tree_leaves(spark, d):
+    """The leaves of the trees of average linkage, read back from their texts."""
+    trees = linkage.newick(linkage.linkage(views.edges(spark, d), "average"))
+    return trees.select("component", F.explode(F.expr(r"regexp_extract_all(newick, '[(,](\\d+):', 1)")).alias("leaf")).select("component", F.col("leaf").cast("int").alias("leaf"))
 
 
 @query()

@@ -57,16 +57,55 @@ def naive(edges, method, psi):
         out.append((a, b, float(dist), len(clusters[a])))
 
 
-@pytest.mark.parametrize("method", ["complete", "average"])
-def test_kernels_match_the_definition(method):
+def random_graph(rng, method):
+    n = rng.randint(3, 12)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
+    distances = rng.sample(range(1, 5000), len(pairs))
+    return sorted(((i, j, d) for (i, j), d in zip(pairs, distances)), key=lambda e: (e[2], e[:2]))
+
+
+def test_average_matches_the_definition():
     rng = random.Random(3)
     for _ in range(60):
-        n = rng.randint(3, 12)
-        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.6]
-        distances = rng.sample(range(1, 5000), len(pairs))
-        edges = sorted(((i, j, d) for (i, j), d in zip(pairs, distances)), key=lambda e: (e[2], e[:2]))
+        edges = random_graph(rng, "average")
         if edges:
-            assert linkage.METHODS[method](edges, 6000) == naive(edges, method, 6000)
+            assert linkage._average(edges, 6000) == naive(edges, "average", 6000)
+
+
+@pytest.mark.parametrize("band", [1, 10**6])
+def test_complete_in_bands_matches_the_definition(spark, band, monkeypatch):
+    rng = random.Random(3)
+    edges, want = [], {}
+    for k in range(12):
+        one = [(i + 20 * k, j + 20 * k, d) for i, j, d in random_graph(rng, "complete")]
+        edges += one
+        want |= {(a, b): (d, n) for a, b, d, n in naive(one, "complete", 0)}
+    # All graphs in one component, by edges too far apart to matter.
+    edges += [(20 * k, 20 * k + 20, 9000 + k) for k in range(11)]
+    monkeypatch.setattr(linkage, "_bands", lambda e, least, real=linkage._bands: real(e, least) if least > 1 else [700, 1800, 3000, 9999])
+    got = linkage.linkage(frame(spark, edges), "complete", band=band).collect()
+    assert {(m.a, m.b): (m.dist, m.members) for m in got if m.dist < 9000} == want
+    assert sorted(m.step for m in got if m.component == 0) == list(range(1, 1 + sum(m.component == 0 for m in got)))
+
+
+def test_single_merges_are_those_of_the_spanning_forest(spark, rows):
+    rng = random.Random(5)
+    pairs = {(min(a, b), max(a, b)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(200)) if a != b}
+    edges = [(a, b, rng.randint(0, 30)) for a, b in pairs] + [(100, 100 + k, k % 3) for k in range(1, 40)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    want = []
+    for i, j, d in sorted(edges, key=lambda e: (e[2], e[:2])):
+        if find(i) != find(j):
+            parent[find(i)] = find(j)
+            want.append((i, j, d))
+    assert rows(linkage.spanning_forest(frame(spark, edges).repartition(3))) == sorted(want, key=repr)
+    assert rows(linkage.spanning_forest(frame(spark, []))) == []
 
 
 def test_components(spark, rows):
@@ -124,4 +163,3 @@ def test_snapshots_at_every_step(spark, name):
     times = {r["cutoff"]: r["count"] for r in got.groupBy("cutoff").count().collect()}
     assert set(times) == {r.cutoff for r in QUERIES["cutoff_series"](spark, folder).collect()}
     assert len(set(times.values())) == 1
-    assert QUERIES[f"{name}_left_apart"](spark, folder).count() == 0
