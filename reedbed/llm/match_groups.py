@@ -106,7 +106,7 @@ def groups(links: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES) -> Da
     found = maps.pop()
     while maps:
         later = found.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        found = maps.pop().join(later, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
+        found = maps.pop().join(later.hint("shuffle_hash"), "p", "left").select("v", F.coalesce("q", "p").alias("p"))
     return found.select(F.col("v").alias("vertex"), F.col("p").alias("group"))
 
 

@@ -9,12 +9,9 @@ with the fewest close partners in it go until all that are left are close to eno
 that are close to enough members come in; members are ranked for the most typical. What belongs to no checked
 cluster runs through all of this again, until a pass finds nothing.
 
-Ids in different connected components share no feature, so no centroid serves two of them and k-means falls apart
-into one for each component. A component of bounded size is clustered by one task, many components a task; one above
-the bound is clustered by the same steps as joins and aggregations of links, keyed by id or centroid. Ids with fewer
-close partners than a member needs are dropped first, which takes a hub's leaves away. What passes over a large
-component leave is sifted by exact conditions and falls into components again; one that is still above the bound is
-searched around each of its ids.
+All of this is joins and aggregations of links, keyed by id or centroid, whatever the size of what hangs together. Ids with
+fewer close partners than a member needs are dropped first, which takes a hub's leaves away. What a pass of k-means leaves
+is sifted by exact conditions and searched around each of its ids, until that finds nothing either.
 """
 
 from __future__ import annotations
@@ -26,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedbed.llm.match_groups import groups
 from reedbed.plans.runtime import materialise, release, shuffle_partitions, table
 
 #: Largest distance of a close pair; fewest members; share of the others that a member is close to.
@@ -34,10 +30,8 @@ CLOSE, LEAST, SHARE = 300, 5, (2, 3)
 #: Dimensions of the hashed features, a power of two.
 DIMENSIONS = 128
 #: Seeds drawn in a round for each id; seeds with at least this cosine are one.
-OVERSAMPLING, SAME_SEED = 0.25, 0.35
+OVERSAMPLING, SAME_SEED = 0.5, 0.35
 LLOYD_ROUNDS = 1
-#: Ids of a connected component that one task takes.
-LARGE = 2000
 
 
 def close_pairs(edges: DataFrame, limit: int = CLOSE) -> DataFrame:
@@ -88,19 +82,17 @@ def _rows_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, DIMENSIONS).astype(np.float32)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> list[pa.Array] | None:
-    parts = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(parts).combine_chunks().columns if parts else None
-
-
 def _vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All links (id, other, d) of some ids -> (id, vector). An id is a feature of itself, with the weight 1."""
-    if columns := _gathered(batches):
-        ids, others, d = (c.to_numpy() for c in columns)
+    """Links (id, other, d), sorted by id -> (id, vector). An id is a feature of itself, with the weight 1."""
+
+    def run(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, others, d = rows
         own = np.unique(ids)
         names, found = _dense(np.concatenate([ids, own]), np.concatenate([others, own]), np.concatenate([1 - d / (2 * CLOSE), np.ones(len(own))]))
         yield pa.record_batch([pa.array(names, pa.int32()), _bytes_of(found)], names=["id", "vector"])
 
+    yield from _in_groups(batches, run)
+
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, seed, vector, centroid) -> (id, seed, cosine)."""
@@ -112,14 +104,40 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All (seed, vector) of some seeds -> (seed, centroid): the mean direction of the members' unit vectors."""
-    if columns := _gathered(batches):
-        names, at = np.unique(columns[0].to_numpy(), return_inverse=True)
-        x = _rows_of(columns[1])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        order = np.argsort(at, kind="stable")
-        sums = np.add.reduceat(x[order], np.searchsorted(at[order], np.arange(len(names))), axis=0)
-        yield pa.record_batch([pa.array(names, pa.int32()), _bytes_of(sums)], names=["seed", "centroid"])
+    """(seed, vector) in any order -> (seed, sum, members): sums of the members' unit vectors, batch by batch, so that a
+    centroid's members are added up before they are sent."""
+    for batch in batches:
+        if batch.num_rows:
+            names, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            x = _rows_of(batch.column(1))
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            order = np.argsort(at, kind="stable")
+            sums = np.add.reduceat(x[order], np.searchsorted(at[order], np.arange(len(names))), axis=0).astype(np.float32)
+            yield pa.record_batch([pa.array(names, pa.int32()), pa.array([v.tobytes() for v in sums], pa.binary())], names=["seed", "sum"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums (seed, sum), sorted by seed -> (seed, centroid), the direction of the sum."""
+    own, total = None, None
+
+    def done(seeds: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(seeds, pa.int32()), _bytes_of(np.array(sums))], names=["seed", "centroid"])
+
+    for batch in batches:
+        seeds, sums = [], []
+        for seed, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            part = np.frombuffer(part, np.float32)
+            if seed == own:
+                total = total + part
+                continue
+            if own is not None:
+                seeds.append(own)
+                sums.append(total)
+            own, total = seed, part
+        if seeds:
+            yield done(seeds, sums)
+    if own is not None:
+        yield done([own], [total])
 
 
 def _uniform(key: Column, *salts: int) -> Column:
@@ -156,7 +174,7 @@ def seeded(vectors: DataFrame, links: DataFrame, salt: int, oversampling: float
             return met
         turn += 1
         # In each round more of what is left is drawn, after some rounds all, so this ends.
-        chance = F.lit(1.0) if turn > 4 else F.col("cost") * (oversampling * turn * count / cost)
+        chance = F.lit(1.0) if turn > 2 else F.col("cost") * (oversampling * turn * count / cost)
         rank = F.xxhash64("id", F.lit(-turn), F.lit(salt))
         drawn = open_.where(_uniform(F.col("id"), turn, salt) < chance).select("id", rank.alias("rank"))
         beaten = (
@@ -187,7 +205,8 @@ def k_means(vectors: DataFrame, links: DataFrame, salt: int) -> DataFrame:
     assigned = materialise(_best(met).select("id", "seed"), "assigned")
     for _ in range(LLOYD_ROUNDS):
         members = assigned.join(vectors, "id").select("seed", "vector")
-        centroids = members.repartition(shuffle_partitions(members.sparkSession), "seed").mapInArrow(_means, "seed int, centroid binary")
+        sums = members.mapInArrow(_means, "seed int, sum binary").repartition(shuffle_partitions(members.sparkSession), "seed").sortWithinPartitions("seed")
+        centroids = sums.mapInArrow(_summed, "seed int, centroid binary")
         pairs = met.select("id", "seed").unionByName(assigned).distinct()
         assigned = materialise(_best(_compared(pairs, vectors, centroids)).select("id", "seed"), "assigned")
     release(named, met)
@@ -352,48 +371,49 @@ def _balls(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _left_over(core: DataFrame, large: int) -> DataFrame:
-    """(seed, typical, id): clusters in what passes of k-means leave, which may overlap. Pairs are sifted and fall into
-    components; those of more than ``large`` ids are searched by balls."""
+def _left_over(core: DataFrame) -> DataFrame:
+    """(seed, typical, id): clusters in what k-means leaves, which may overlap. Pairs are sifted, and each id's ball of
+    them is searched."""
     sifted = _sifted(core)
     if sifted.isEmpty():
         return sifted.select(F.col("a").alias("seed"), F.col("a").alias("typical"), F.col("a").alias("id"))
-    small, giants = _by_size(sifted, large)
-    found = _searched(small)
-    if giants is not None:
-        found = found.unionByName(_searched(_balls(giants)))
+    found = _searched(_balls(sifted))
     apart = _apart(found.select(F.col("component").alias("seed"), "typical", "id"))
     return apart.select(F.col("typical").alias("seed"), "typical", "id")
 
 
-def at_scale(core: DataFrame, large: int = LARGE) -> DataFrame:
-    """Clusters of pairs (a, b, d) of any connected components, by passes of distributed k-means. A pass leaves out the
-    members of clusters found before it and draws other seeds. What a pass that finds none leaves is searched by exact
-    conditions; this ends when those find none either. Every pass but the last takes a cluster away."""
-    spark = core.sparkSession
-    found: DataFrame | None = None
-    left, salt = core, 0
-    while True:
-        salt += 1
-        core = materialise(pruned(left), "core")
-        if core.isEmpty():
-            break
+def _without(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of which no end is in a cluster found."""
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("id").alias(end)), end, "left_anti")
+    return pairs.select("a", "b", "d")
+
+
+def clusters_of(pairs: DataFrame) -> DataFrame:
+    """(typical, id): the clusters of close pairs (a, b, d): those that k-means over all pairs leads to, then those that the
+    exact search finds in what it leaves, until it finds none. Every round but the last takes a cluster away."""
+    spark = pairs.sparkSession
+    core = materialise(pruned(pairs), "core")
+    out: DataFrame | None = None
+    by_search = False
+    while not core.isEmpty():
         links = _both_ways(core)
-        vectors = materialise(links.select("id", "other", "d").repartition(shuffle_partitions(spark), "id").mapInArrow(_vectorise, "id int, vector binary"), "vectors")
-        new = materialise(_check(core, k_means(vectors, links, salt)), "clusters")
-        release(vectors)
-        if new.isEmpty():
-            new = _left_over(core, large)
+        if by_search:
+            new = _left_over(core)
             if new.isEmpty():
                 break
+        else:
+            vectors = links.select("id", "other", "d").repartition(shuffle_partitions(spark), "id").sortWithinPartitions("id")
+            vectors = materialise(vectors.mapInArrow(_vectorise, "id int, vector binary"), "vectors")
+            new = materialise(_check(core, k_means(vectors, links, 1)), "clusters")
+            release(vectors)
+            by_search = True
         new = _apart(_grown(core, links, new))
-        found = new if found is None else found.unionByName(new)
-        outside = core
-        for end in ("a", "b"):
-            outside = outside.join(new.select(F.col("id").alias(end)), end, "left_anti")
-        left = materialise(outside.select("a", "b", "d"), "left")
+        out = new if out is None else out.unionByName(new)
+        left = materialise(pruned(_without(core, new)), "core")
         release(core)
-    return spark.createDataFrame([], "typical int, id int") if found is None else found
+        core = left
+    return spark.createDataFrame([], "typical int, id int") if out is None else out
 
 
 class Component:
@@ -420,7 +440,7 @@ class Component:
         while (open_ := nearest < SAME_SEED).any():
             turn += 1
             cost = np.where(open_, 1 - nearest, 0)
-            chance = cost * OVERSAMPLING * turn * len(own) / cost.sum() if turn < 5 else np.where(open_, np.inf, 0)
+            chance = cost * OVERSAMPLING * turn * len(own) / cost.sum() if turn < 3 else np.where(open_, np.inf, 0)
             order = rank.permutation(len(own))
             drawn = np.flatnonzero(open_ & (rank.random(len(own)) < chance))
             met = near[np.ix_(drawn, drawn)] & (order[drawn][None, :] < order[drawn][:, None])
@@ -527,36 +547,20 @@ def _by_component(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from _in_groups(batches, run)
 
 
-def _by_size(core: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
-    """(component, a, b, d) of the connected components of pairs (a, b, d) that have at most ``large`` ids; and the pairs
-    (a, b, d) of the others, if there are any."""
-    placed = materialise(core.join(groups(core, "a", "b").select(F.col("vertex").cast("int").alias("a"), F.col("group").alias("component")), "a").select("component", "a", "b", "d"), "placed")
-    ids = placed.select("component", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("component").agg(F.count("*").alias("n"))
-    giants = materialise(ids.where(F.col("n") > large).select("component"), "giants")
-    if giants.isEmpty():
-        return placed, None
-    return placed.join(giants, "component", "left_anti").select(*placed.columns), placed.join(giants, "component", "left_semi").select("a", "b", "d")
-
-
 def _searched(placed: DataFrame) -> DataFrame:
     """Pairs (component, a, b, d) -> (component, typical, id), each component by one task."""
     return placed.repartition(shuffle_partitions(placed.sparkSession), "component").sortWithinPartitions("component").mapInArrow(_by_component, "component long, typical int, id int")
 
 
-def clusters(edges: DataFrame, large: int = LARGE) -> DataFrame:
+def clusters(edges: DataFrame) -> DataFrame:
     """(seqi, seqj, dist) -> (typical, id): every cluster's members, the most typical one among them. Ids are INT.
 
     Rows with a null, with equal ends or with a distance outside 0 to CLOSE tell nothing; repeated rows and either
     order are one pair, with the smallest distance. Ties for the most typical member go to the smaller sum of
     distances, then to the smaller id. Without clusters, or on an empty table, there are no rows. Other columns
-    are not read. Connected components of more than ``large`` ids take the distributed form.
+    are not read.
     """
-    pairs = materialise(close_pairs(edges), "close")
-    core = materialise(pruned(pairs), "core")
-    release(pairs)
-    small, giants = _by_size(core, large)
-    found = _searched(small).select("typical", "id")
-    return found if giants is None else found.unionByName(at_scale(giants, large))
+    return clusters_of(close_pairs(edges))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,8 +186,7 @@ def planted(rng):
     return edges, truth
 
 
-@pytest.mark.parametrize("large", [similarity_clusters.LARGE, 3])
-def test_clusters_match_the_definition(spark, rows, large):
+def test_clusters_match_the_definition(spark, rows):
     rng = random.Random(11)
     edges, truth = planted(rng)
     data = [(n, *rng.sample((a, b), 2), d) for n, ((a, b), d) in enumerate(edges.items())]
@@ -199,7 +198,7 @@ def test_clusters_match_the_definition(spark, rows, large):
         best = min(ids, key=lambda i: (-len(near[i]), sum(near[i]), i))
         want += [(best, i) for i in ids]
     df = spark.createDataFrame([(*r, "x", "y") for r in data], EDGE)
-    assert rows(similarity_clusters.clusters(df, large)) == sorted(want, key=repr)
+    assert rows(similarity_clusters.clusters(df)) == sorted(want, key=repr)
 
 
 def test_no_clusters(spark, rows):
@@ -246,8 +245,8 @@ def apart(vectors, links, *salt):
     return vectors.selectExpr("id", "id AS seed")
 
 
-@pytest.mark.parametrize("large, seeds", [(3, None), (3, apart), (8, apart)])
-def test_large_components_match_brute_force(spark, rows, monkeypatch, large, seeds):
+@pytest.mark.parametrize("seeds", [None, apart])
+def test_loose_clusters_match_brute_force(spark, rows, monkeypatch, seeds):
     if seeds:
         monkeypatch.setattr(similarity_clusters, "k_means", seeds)
     data, want = [], set()
@@ -260,17 +259,17 @@ def test_large_components_match_brute_force(spark, rows, monkeypatch, large, see
             want |= {frozenset(s) for s in sets}
     assert len(want) > 50
     got = {}
-    for typical, member in rows(similarity_clusters.clusters(spark.createDataFrame(data, EDGE), large)):
+    for typical, member in rows(similarity_clusters.clusters(spark.createDataFrame(data, EDGE))):
         got.setdefault(typical, set()).add(member)
     assert {frozenset(s) for s in got.values()} == want
 
 
-def test_large_clusters_grow_until_no_more_come_in(spark, rows, monkeypatch):
+def test_clusters_grow_until_no_more_come_in(spark, rows, monkeypatch):
     monkeypatch.setattr(similarity_clusters, "k_means", lambda vectors, links, *salt: vectors.selectExpr("id", "IF(id <= 5, 1, id) AS seed"))
     # 6 is close to four of five; 7 to three of five, but to four of six.
     close = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)] + [(k, 6) for k in (1, 2, 3, 4)] + [(k, 7) for k in (1, 2, 5, 6)]
     df = spark.createDataFrame([(0, a, b, 100, "", "") for a, b in close], EDGE)
-    assert rows(similarity_clusters.clusters(df, 3)) == [(1, k) for k in range(1, 8)]
+    assert rows(similarity_clusters.clusters(df)) == [(1, k) for k in range(1, 8)]
 
 
 def test_lone_pairs_with_a_conserved_stretch_share_a_block():
