@@ -24,8 +24,8 @@ from reedbed.plans.runtime import materialise, table
 
 #: Tokens that a container holds.
 CAPACITY = 2048
-#: Steps of the least-squares fit.
-STEPS = 400
+#: Steps of the least-squares fit, and patterns that it takes at most; of more, evenly spread ones are tried.
+STEPS, PATTERNS = 400, 500_000
 
 _SIZED = "doc_id long, part int, size int, chunk int, nth long"
 Pattern = tuple[tuple[int, int], ...]
@@ -35,17 +35,21 @@ def patterns(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     """Lengths and how often each is taken, three of either in a row; unused places have the length 0.
 
     Up to three items of any lengths, and any number of one length with up to one item of another, all filling
-    the container exactly."""
+    the container exactly. What patterns leave is packed anyway, so those left out above PATTERNS cost room only."""
     there = np.zeros(capacity + 1, bool)
     there[lengths] = True
     rows: list[np.ndarray] = []
+    below = np.cumsum(there)
+    seconds = np.where(3 * lengths > capacity, below[lengths - 1] - below[np.maximum(0, np.minimum((capacity - lengths) // 2, lengths - 1))], 0)
+    every = max(1, -(-int(np.maximum(seconds, 0).sum() + (capacity // lengths).sum()) // PATTERNS))
     for size in lengths:
-        times = np.arange(1, capacity // size + 1)
+        times = np.arange(1, capacity // size + 1, every)
         rest = capacity - times * size
         ok = there[rest] & (rest != size) | (rest == 0)
         n = ok.sum()
         rows.append(np.column_stack([np.full(n, size), rest[ok], np.zeros(n, int), times[ok], (rest[ok] > 0).astype(int), np.zeros(n, int)]))
         second = lengths[(lengths < size) & (2 * lengths > capacity - size)] if 3 * size > capacity else lengths[:0]
+        second = second[::every]
         third = capacity - size - second
         ok = (third > 0) & (third < second)
         ok[ok] = there[third[ok]]
@@ -230,5 +234,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy((F.lit(CAPACITY) - F.col("tokens")).alias("room")).agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill}
-ORACLES: dict[str, str] = {}
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: documents in all; containers over the capacity or with overlapping items;
+    documents split though they fit; and whether there are at most a hundredth more containers than tokens need."""
+    items = materialise(p7_containers(spark, sf_dir), "containers")
+    each = items.groupBy("container_id").agg(F.sum("size").alias("tokens"), F.max(F.col("start") + F.col("size")).alias("end"))
+    wrong = each.agg(F.sum(((F.col("tokens") > CAPACITY) | (F.col("tokens") != F.col("end"))).cast("int")).cast("int").alias("wrong"), F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+    docs = items.agg(F.sum((F.col("part") == 0).cast("long")).alias("docs"))
+    split = items.groupBy("doc_id").agg(F.sum("size").alias("tokens"), F.max("part").alias("part"))
+    split = split.agg(F.sum(((F.col("part") > 0) & (F.col("tokens") <= CAPACITY)).cast("int")).cast("int").alias("split"))
+    full = F.col("containers") <= F.greatest(F.lit(1), F.ceil(F.ceil(F.col("tokens") / CAPACITY) * 1.01))
+    return docs.join(wrong).join(split).select("docs", "wrong", "split", full.alias("full"))
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_fill": p7_fill, "p7_checked": p7_checked}
+ORACLES = {"p7_checked": "SELECT COUNT(*) AS docs, 0 AS wrong, 0 AS split, true AS full FROM documents"}

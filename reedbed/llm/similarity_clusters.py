@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reedbed.plans.runtime import materialise, release, shuffle_partitions, table
@@ -572,5 +572,33 @@ def p5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("typical_id").agg(F.count("*").alias("members"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_sizes": p5_sizes}
-ORACLES: dict[str, str] = {}
+def p5_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the clusters, by faults: clusters that are too small; members close to too few others; typical
+    members that aren't; ids outside that are close enough to be in; and ids that with all their partners are a cluster of
+    which none was found."""
+    pairs = materialise(close_pairs(table(spark, sf_dir, "thin_edge")), "pairs")
+    found = materialise(clusters_of(pairs), "found")
+    links = _both_ways(pairs)
+    size = found.groupBy("typical").agg(F.count("*").alias("n"))
+    enough = lambda close, n: F.col(close) * SHARE[1] >= SHARE[0] * (F.col(n) - 1)
+    near = links.join(found.select("typical", F.col("id").alias("other")), "other").groupBy("typical", "id").agg(F.count("*").alias("close"), F.sum("d").alias("total"))
+    inside = found.join(near, ["typical", "id"], "left").fillna(0, ["close", "total"]).join(size, "typical")
+    best = Window.partitionBy("typical").orderBy(F.col("close").desc(), "total", "id")
+    joins = near.join(size, "typical").join(found.select("typical", "id"), ["typical", "id"], "left_anti").where(F.col("close") * SHARE[1] >= SHARE[0] * F.col("n"))
+    around = links.select(F.col("id").alias("center"), "other").unionByName(links.select(F.col("id").alias("center"), F.col("id").alias("other")).distinct())
+    met = around.join(links.select(F.col("id").alias("other"), F.col("other").alias("third")), "other").join(around.select("center", F.col("other").alias("third")), ["center", "third"], "left_semi")
+    ball = around.groupBy("center").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    loose = around.join(met.groupBy("center", "other").agg(F.count("*").alias("close")), ["center", "other"], "left").fillna(0, ["close"]).join(ball, "center").where(~enough("close", "n"))
+    missed = ball.join(loose.select("center").distinct(), "center", "left_anti").join(found.select(F.col("id").alias("center")), "center", "left_anti")
+    count = lambda df, name: df.agg(F.count("*").alias("faults")).select(F.lit(name).alias("what"), "faults")
+    return (
+        count(size.where(F.col("n") < LEAST), "small")
+        .unionByName(count(inside.where(~enough("close", "n")), "loose"))
+        .unionByName(count(inside.withColumn("k", F.row_number().over(best)).where("k = 1 AND id <> typical"), "typical"))
+        .unionByName(count(joins, "outside"))
+        .unionByName(count(missed, "missed"))
+    )
+
+
+QUERIES = {"p5_found": p5_found, "p5_sizes": p5_sizes, "p5_checked": p5_checked}
+ORACLES = {"p5_checked": "SELECT UNNEST(['small', 'loose', 'typical', 'outside', 'missed']) AS what, 0 AS faults"}
