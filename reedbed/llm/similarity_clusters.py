@@ -17,6 +17,7 @@ is sifted by exact conditions and searched around each of its ids, until that fi
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,12 @@ from reedbed.plans.runtime import materialise, release, shuffle_partitions, tabl
 #: Largest distance of a close pair; fewest members; share of the others that a member is close to.
 CLOSE, LEAST, SHARE = 300, 5, (2, 3)
 #: Dimensions of the hashed features, a power of two.
-DIMENSIONS = 128
+DIMENSIONS = 64
 #: Seeds drawn in a round for each id; seeds with at least this cosine are one.
 OVERSAMPLING, SAME_SEED = 0.5, 0.35
 LLOYD_ROUNDS = 1
+#: Rounds of oversampling; in the last, all that is left becomes a seed.
+ROUNDS = 4
 
 
 def close_pairs(edges: DataFrame, limit: int = CLOSE) -> DataFrame:
@@ -163,45 +166,51 @@ def _compared(pairs: DataFrame, vectors: DataFrame, centroids: DataFrame) -> Dat
     return met.mapInArrow(_cosines, "id int, seed int, cosine double")
 
 
-def seeded(vectors: DataFrame, links: DataFrame, salt: int, oversampling: float = OVERSAMPLING) -> DataFrame:
-    """(id, seed, cosine): seeds by oversampling in rounds, met by the ids close to them, until every id has the
-    cosine SAME_SEED with a seed, itself perhaps. Another salt draws other seeds. Written as a table."""
-    met: DataFrame | None = None
+def seeded(vectors: DataFrame, links: DataFrame, salt: int, oversampling: float = OVERSAMPLING) -> list[DataFrame]:
+    """(id, seed, cosine), a written table a round: seeds by oversampling, met by the ids close to them, until every id has
+    the cosine SAME_SEED with a seed, itself perhaps. Another salt draws other seeds."""
+    met: list[DataFrame] = []
     open_, turn = materialise(vectors.select("id", F.lit(1.0).alias("cost")), "open"), 0
     while True:
         cost, count = open_.agg(F.sum("cost"), F.count("*")).first()
         if not count:
             return met
         turn += 1
-        # In each round more of what is left is drawn, after some rounds all, so this ends.
-        chance = F.lit(1.0) if turn > 2 else F.col("cost") * (oversampling * turn * count / cost)
-        rank = F.xxhash64("id", F.lit(-turn), F.lit(salt))
-        drawn = open_.where(_uniform(F.col("id"), turn, salt) < chance).select("id", rank.alias("rank"))
-        beaten = (
-            links.join(drawn, "id")
-            .join(drawn.select(F.col("id").alias("other"), F.col("rank").alias("against")), "other")
-            .where((F.col("against") < F.col("rank")) | ((F.col("against") == F.col("rank")) & (F.col("other") < F.col("id"))))
-            .select("id")
-        )
-        new = materialise(drawn.join(beaten, "id", "left_anti").select(F.col("id").alias("seed")), "seeds")
+        if turn < ROUNDS:
+            # In each round more of what is left is drawn.
+            chance = F.col("cost") * (oversampling * turn * count / cost)
+            rank = F.xxhash64("id", F.lit(-turn), F.lit(salt))
+            drawn = open_.where(_uniform(F.col("id"), turn, salt) < chance).select("id", rank.alias("rank"))
+            beaten = (
+                links.join(drawn, "id")
+                .join(drawn.select(F.col("id").alias("other"), F.col("rank").alias("against")), "other")
+                .where((F.col("against") < F.col("rank")) | ((F.col("against") == F.col("rank")) & (F.col("other") < F.col("id"))))
+                .select("id")
+            )
+            new = materialise(drawn.join(beaten, "id", "left_anti").select(F.col("id").alias("seed")), "seeds")
+        else:
+            # The few that are still far from all seeds are seeds; those that see the same ids are merged afterwards.
+            new = materialise(open_.select(F.col("id").alias("seed")), "seeds")
         pairs = links.join(new.withColumnRenamed("seed", "other"), "other").select("id", F.col("other").alias("seed")).unionByName(new.select(F.col("seed").alias("id"), "seed"))
         found = materialise(_compared(pairs, vectors, vectors.select(F.col("id").alias("seed"), F.col("vector").alias("centroid"))), "met")
+        met.append(found)
         covered = found.groupBy("id").agg(F.max("cosine").alias("cosine")).where(F.col("cosine") >= SAME_SEED)
-        after = materialise(open_.join(covered, "id", "left_anti").withColumn("cost", F.lit(1.0)), "open")
+        after = materialise(open_.join(covered, "id", "left_anti"), "open")
         release(open_, new)
         open_ = after
-        met = found if met is None else met.unionByName(found)
 
 
 def k_means(vectors: DataFrame, links: DataFrame, salt: int) -> DataFrame:
     """(id, seed): the centroid of each id, named by a seed. Written as a table."""
-    met = seeded(vectors, links, salt)
+    rounds = seeded(vectors, links, salt)
+    met = reduce(DataFrame.unionByName, rounds)
     # Oversampling leaves several seeds in a cluster: each takes the name of the smallest that meets the same ids.
     other = met.select("id", F.col("seed").alias("to"))
     alike = met.select("id", "seed").join(other, "id").where("to < seed").select(F.col("seed").alias("id"), F.col("to").alias("seed")).distinct()
     alike = _compared(alike, vectors, vectors.select(F.col("id").alias("seed"), F.col("vector").alias("centroid")))
     named = materialise(alike.where(F.col("cosine") >= SAME_SEED).groupBy(F.col("id").alias("seed")).agg(F.min("seed").alias("to")), "named")
     met = materialise(met.join(named, "seed", "left").select("id", F.coalesce("to", "seed").alias("seed"), "cosine"), "met")
+    release(*rounds)
     assigned = materialise(_best(met).select("id", "seed"), "assigned")
     for _ in range(LLOYD_ROUNDS):
         members = assigned.join(vectors, "id").select("seed", "vector")
@@ -295,10 +304,12 @@ def _grown(pairs: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
             .select("id", "seed"),
             "more",
         )
-        wider = found.select("id", "seed").join(more.select("seed").distinct(), "seed", "left_semi").select("id", "seed").unionByName(more)
-        tried = materialise(_check(pairs, wider), "clusters")
-        larger = materialise(tried.groupBy("seed").agg(F.count("*").alias("m")).join(sizes, "seed").where("m > n").select("seed"), "larger")
-        if larger.isEmpty():
+        larger = None
+        if not more.isEmpty():
+            wider = found.select("id", "seed").join(more.select("seed").distinct(), "seed", "left_semi").select("id", "seed").unionByName(more)
+            tried = materialise(_check(pairs, wider), "clusters")
+            larger = materialise(tried.groupBy("seed").agg(F.count("*").alias("m")).join(sizes, "seed").where("m > n").select("seed"), "larger")
+        if larger is None or larger.isEmpty():
             for part in done:
                 found = found.unionByName(part)
             return found
