@@ -12,13 +12,11 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reedbed.plans.runtime import materialise, shuffle_partitions
 
-#: Distinct stretches of a key up to which they are kept in one row.
-WIDE = 1000
 COLUMNS = ("table_name", "row_no", "field_name", "period", "kind")
 
 
@@ -52,52 +50,43 @@ def stretches(df: DataFrame, key: str, added: str | None = None, removed: str |
 
 
 def key_states(target: DataFrame) -> DataFrame:
-    """One row for each key: its distinct stretches and the first of their starts (null: from the start).
-
-    Resent rows collapse in the partial aggregation before the shuffle, so a key that holds a third of the
-    rows costs one row for each partition."""
-    return (
-        target.groupBy("key")
-        .agg(
-            F.collect_set(F.struct("added", "removed")).alias("spans"),
-            F.min("added").alias("first_added"),
-            F.max(F.col("added").isNull()).alias("open"),
-        )
-        .withColumn("first_added", F.when(~F.col("open"), F.col("first_added")))
-        .drop("open")
-    )
-
-
-def _within(span: Column, at: Column) -> Column:
-    return (span["added"].isNull() | (span["added"] <= at)) & (span["removed"].isNull() | (at < span["removed"]))
-
-
-def _is_there(at: Column) -> Column:
-    """Nearly every key has one stretch; only the others pay for the higher-order function."""
-    spans = F.col("spans")
-    return F.when(F.size(spans) == 1, _within(spans[0], at)).otherwise(F.exists(spans, lambda s: _within(s, at)))
+    """One row for each key: the first of its starts (null: from the start), and whether it is always there.
 
-
-def _absent_by_timeline(refs: DataFrame, target: DataFrame) -> DataFrame:
-    """References with a time that aren't there, for keys of any number of stretches: (code, row_no, at, first_added).
-
-    Starts, ends and references of a key lie on one line of time, range-partitioned and sorted, so that one key is
-    spread over many tasks; how many stretches are open is a running sum, carried over partitions by one row for each
-    partition and key."""
-    real = target.where("added IS NULL OR removed IS NULL OR added < removed").distinct()
-    none = [F.lit(None).cast("smallint").alias("code"), F.lit(None).cast("long").alias("row_no")]
-    starts = real.select("key", F.col("added").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("delta"), *none)
-    ends = real.where("removed IS NOT NULL").select("key", F.col("removed").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("delta"), *none)
-    asked = refs.where("at IS NOT NULL").select("key", "at", F.lit(1).alias("kind"), F.lit(0).alias("delta"), "code", F.col("row_no").cast("long").alias("row_no"))
+    Rows are aggregated before the shuffle, so a key that holds a third of them costs one row for each partition."""
+    states = target.groupBy("key").agg(
+        F.min("added").alias("first_added"),
+        F.max(F.col("added").isNull()).alias("open"),
+        F.max(F.col("added").isNull() & F.col("removed").isNull()).alias("always"),
+    )
+    return states.select("key", F.when(~F.col("open"), F.col("first_added")).alias("first_added"), "always")
+
+
+def _judged(refs: DataFrame, target: DataFrame) -> DataFrame:
+    """References (code, row_no, at, key) that aren't there, with their kind: (code, row_no, at, verdict).
+
+    A key's state tells those that are missing or come before all of its starts. For the others, starts, ends and references
+    of a key lie on one line of time, range-partitioned and sorted, so that one key with its stretches is spread over many
+    tasks; how many stretches are open is a running sum, carried over partitions by one row for each partition and key."""
+    states = key_states(target)
+    known = refs.join(states, "key", "left")
+    verdict = F.when(F.col("always").isNull(), F.lit("missing")).when(F.col("at") < F.col("first_added"), F.lit("late"))
+    asked = known.withColumn("verdict", verdict).where("verdict IS NOT NULL OR (at IS NOT NULL AND NOT always)")
+    real = target.where("added IS NOT NULL OR removed IS NOT NULL").where("added IS NULL OR removed IS NULL OR added < removed").distinct()
+    none = [F.lit(None).cast("smallint").alias("code"), F.lit(None).cast("long").alias("row_no"), F.lit(None).cast("string").alias("verdict")]
+    changes = F.array(
+        F.struct(F.col("added").alias("at"), F.lit(1).alias("delta")), F.struct(F.col("removed").alias("at"), F.lit(-1).alias("delta"))
+    )
+    moves = real.select("key", F.inline(changes)).where("at IS NOT NULL OR delta = 1").select("key", "at", F.lit(0).alias("kind"), "delta", *none)
+    line = moves.unionByName(asked.select("key", "at", F.lit(1).alias("kind"), F.lit(0).alias("delta"), "code", F.col("row_no").cast("long").alias("row_no"), "verdict"))
     order = ["key", "at", "kind", "row_no"]
-    line = starts.unionByName(ends).unionByName(asked).repartitionByRange(shuffle_partitions(refs.sparkSession), *order).sortWithinPartitions(*order)
+    line = line.repartitionByRange(shuffle_partitions(refs.sparkSession), *order).sortWithinPartitions(*order)
     line = materialise(line.withColumn("part", F.spark_partition_id()), "timeline")
-    open_here = F.sum("delta").over(Window.partitionBy("part", "key").orderBy("at", "kind", "row_no").rowsBetween(Window.unboundedPreceding, 0))
+    here = F.sum("delta").over(Window.partitionBy("part", "key").orderBy("at", "kind", "row_no").rowsBetween(Window.unboundedPreceding, 0))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = line.groupBy("part", "key").agg(F.sum("delta").alias("n")).select("part", "key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
-    absent = line.withColumn("open", open_here).join(carried, ["part", "key"]).where((F.col("kind") == 1) & (F.col("open") + F.col("carried") <= 0))
-    firsts = target.groupBy("key").agg(F.when(F.max(F.col("added").isNull()), None).otherwise(F.min("added")).alias("first_added"))
-    return absent.select("key", "code", "row_no", "at").join(firsts, "key").select("code", "row_no", "at", "first_added")
+    carried = line.groupBy("part", "key").agg(F.sum("delta").alias("n")).select("part", "key", F.sum("n").over(before).alias("carried")).where("carried <> 0")
+    counted = line.withColumn("here", here).where("kind = 1").join(carried, ["part", "key"], "left")
+    absent = counted.where(F.col("verdict").isNotNull() | (F.col("here") + F.coalesce("carried", F.lit(0)) <= 0))
+    return absent.select("code", "row_no", "at", F.coalesce("verdict", F.lit("deleted")).alias("verdict"))
 
 
 def direct_orphans(
@@ -106,7 +95,6 @@ def direct_orphans(
     targets: Mapping[str, DataFrame],
     row_id: str = "row_no",
     at: str = "made_at",
-    wide: int = WIDE,
 ) -> DataFrame:
     """One row for each reference that is not there: table_name, row_no, field_name, period, kind.
 
@@ -115,9 +103,8 @@ def direct_orphans(
     counts only if the value is missing, under the period ``unknown``. Repeated rows each count. Empty
     tables give no rows. Columns other than those named are never read, whatever their names.
 
-    One shuffle: the references go to their keys' states. A hot key's references lie on the outer side of
-    a left join, which adaptive execution splits; the other side has one row for each key. Keys of more than
-    ``wide`` distinct stretches, if there are any, take a running sum over their line of time instead.
+    The references go to their keys' states, on the outer side of a left join that adaptive execution splits where a key
+    is hot; the other side has one row for each key. Those that the state doesn't settle go on to a line of time.
     """
     references = list(references)
     parts = []
@@ -125,35 +112,26 @@ def direct_orphans(
         codes = [r for r in references if r.target == target]
         rows = []
         for name in dict.fromkeys(r.table for r in codes):
-            df = tables[name]
             fields = [
                 F.struct(F.lit(k).cast("smallint").alias("code"), F.col(f"`{r.field}`").alias("key"))
                 for k, r in enumerate(codes)
                 if r.table == name
             ]
             rows.append(
-                df.select(F.col(row_id).alias("row_no"), F.col(at).alias("at"), F.inline(F.array(*fields))).where(
-                    F.col("key").isNotNull()
-                )
+                tables[name]
+                .select(F.col(row_id).alias("row_no"), F.col(at).alias("at"), F.inline(F.array(*fields)))
+                .where(F.col("key").isNotNull())
             )
-        refs = reduce(DataFrame.unionByName, rows)
-        stretched = targets[target]
-        many = materialise(stretched.distinct().groupBy("key").count().where(F.col("count") > wide).select("key"), "wide")
         named = lambda what, codes=codes: F.element_at(F.array(*[F.lit(getattr(r, what)) for r in codes]), F.col("code") + 1)
-        shown = lambda df, kind, named=named: df.select(
-            named("table").alias("table_name"),
-            "row_no",
-            named("field").alias("field_name"),
-            F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")).alias("period"),
-            kind.alias("kind"),
+        parts.append(
+            _judged(reduce(DataFrame.unionByName, rows), targets[target]).select(
+                named("table").alias("table_name"),
+                "row_no",
+                named("field").alias("field_name"),
+                F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("unknown")).alias("period"),
+                F.col("verdict").alias("kind"),
+            )
         )
-        gone = F.when(F.col("at") < F.col("first_added"), F.lit("late")).otherwise(F.lit("deleted"))
-        if not many.isEmpty():
-            parts.append(shown(_absent_by_timeline(refs.join(many, "key", "left_semi"), stretched.join(many, "key", "left_semi")), gone))
-            refs, stretched = refs.join(many, "key", "left_anti"), stretched.join(many, "key", "left_anti")
-        joined = refs.join(key_states(stretched), "key", "left")
-        orphan = F.col("spans").isNull() | (F.col("at").isNotNull() & ~_is_there(F.col("at")))
-        parts.append(shown(joined.where(orphan), F.when(F.col("spans").isNull(), F.lit("missing")).otherwise(gone)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -164,16 +142,15 @@ def find_orphans(
     links: Iterable[Link] = (),
     row_id: str = "row_no",
     at: str = "made_at",
-    wide: int = WIDE,
 ) -> DataFrame:
     """The fixpoint: direct orphans (level 0), then, level by level, rows that inherit it (kind ``inherited``).
 
     A row inherits if its link's value is the key of at least one parent row and all parent rows with that
-    key are orphaned. Each level semi-joins the children with the dead keys of the level before and leaves
-    out rows found already, so it ends also on cyclic links. Columns: those of :func:`direct_orphans` and
+    key are orphaned. Each level looks at the keys of the parents found in the level before only, semi-joins the children
+    with those that are dead and leaves out rows found already, so it ends also on cyclic links. Columns: those of :func:`direct_orphans` and
     ``level``. A row may have several direct rows (one a field) and at most one inherited row a link.
     """
-    direct = direct_orphans(tables, references, targets, row_id, at, wide).withColumn("level", F.lit(0))
+    direct = direct_orphans(tables, references, targets, row_id, at).withColumn("level", F.lit(0))
     links = [x for x in links if x.child in tables and x.parent in tables]
     if not links:
         return direct
@@ -183,12 +160,14 @@ def find_orphans(
         level += 1
         grown = []
         for link in links:
-            dead_rows = found.where(F.col("table_name") == link.parent).select("row_no").distinct()
+            of_parent = lambda df, link=link: df.where(F.col("table_name") == link.parent).select("row_no").distinct()
             parent = tables[link.parent].select(
                 F.col(row_id).alias("row_no"), F.col(f"`{link.key}`").alias("key")
             ).where(F.col("key").isNotNull())
+            touched = parent.join(of_parent(frontier), "row_no", "left_semi").select("key").distinct()
             dead_keys = (
-                parent.join(dead_rows.withColumn("dead", F.lit(True)), "row_no", "left")
+                parent.join(touched, "key", "left_semi")
+                .join(of_parent(found).withColumn("dead", F.lit(True)), "row_no", "left")
                 .groupBy("key")
                 .agg(F.min(F.coalesce("dead", F.lit(False))).alias("dead"))
                 .where("dead")

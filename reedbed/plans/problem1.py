@@ -15,7 +15,8 @@ REFERENCES = (
     Reference("cluster_row", "sample", "sample"),
     Reference("sample_map", "sample", "sample"),
 )
-LINKS = (Link("sample_map", "seq_name", "id_map", "seq_name"),)
+#: Two levels: names whose exemplars are orphaned, and samples whose names all are.
+LINKS = (Link("sample_map", "seq_name", "id_map", "seq_name"), Link("cluster_row", "sample", "sample_map", "sample"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -30,12 +31,13 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables, targets = _graph(spark, sf_dir)
-    return find_orphans(tables, REFERENCES, targets).select(*COLUMNS)
+    """Level 0 of the cascade."""
+    return p1_cascade(spark, sf_dir).where("level = 0").select(*COLUMNS)
 
 
 def p1_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct orphans, and names in sample_map whose every row in id_map is orphaned."""
+    """Direct orphans, names in sample_map whose every row in id_map is orphaned, and samples in cluster_row whose every
+    row in sample_map is, directly or by its name."""
     tables, targets = _graph(spark, sf_dir)
     return find_orphans(tables, REFERENCES, targets, LINKS)
 
@@ -74,10 +76,23 @@ dead AS (
   SELECT m.seq_name AS key FROM id_map m
   LEFT JOIN (SELECT DISTINCT row_no FROM direct WHERE table_name = 'id_map') d ON m.row_no = d.row_no
   WHERE m.seq_name IS NOT NULL GROUP BY m.seq_name HAVING COUNT(*) = COUNT(d.row_no)),
+one AS (
+  SELECT s.row_no FROM sample_map s WHERE s.seq_name IN (SELECT key FROM dead)),
+known AS (
+  SELECT DISTINCT row_no FROM direct WHERE table_name = 'sample_map'),
+first AS (
+  SELECT m.sample AS key FROM sample_map m LEFT JOIN known k ON m.row_no = k.row_no
+  WHERE m.sample IS NOT NULL GROUP BY m.sample HAVING COUNT(*) = COUNT(k.row_no)),
+second AS (
+  SELECT m.sample AS key FROM sample_map m LEFT JOIN (SELECT row_no FROM known UNION SELECT row_no FROM one) k ON m.row_no = k.row_no
+  WHERE m.sample IS NOT NULL GROUP BY m.sample HAVING COUNT(*) = COUNT(k.row_no)),
 every AS (
   SELECT table_name, row_no, field_name, period, kind, 0 AS level FROM direct
   UNION ALL SELECT 'sample_map', s.row_no, 'seq_name', COALESCE(strftime(s.made_at, '%Y-%m'), 'unknown'), 'inherited', 1
-  FROM sample_map s WHERE s.seq_name IN (SELECT key FROM dead))"""
+  FROM sample_map s WHERE s.row_no IN (SELECT row_no FROM one)
+  UNION ALL SELECT 'cluster_row', c.row_no, 'sample', COALESCE(strftime(c.made_at, '%Y-%m'), 'unknown'), 'inherited',
+    CASE WHEN c.sample IN (SELECT key FROM first) THEN 1 ELSE 2 END
+  FROM cluster_row c WHERE c.sample IN (SELECT key FROM second))"""
 ORACLES = {
     "p1_found": f"{_FOUND} SELECT table_name, row_no, field_name, period, kind FROM direct",
     "p1_cascade": f"{_CASCADE} SELECT table_name, row_no, field_name, period, kind, level FROM every",
