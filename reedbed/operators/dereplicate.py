@@ -15,6 +15,28 @@ from reedbed.operators.numbering import numbered
 MODES = {"unaligned": unaligned, "aligned": lambda c: c, "formatted": model_only}
 
 
+def _groups(seqs: DataFrame, mode: str, mask: list[int] | None, by_size: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (ord, seq_name, bases) after the mode's preparation, and the numbered groups (ex_ord, bases, size, ex_id)."""
+    prepared = kept_columns(F.col("bases"), mask) if mask is not None else MODES[mode](F.col("bases"))
+    rows = seqs.where(F.col("bases").isNotNull()).select("ord", "seq_name", prepared.alias("bases"))
+    groups = rows.groupBy("bases").agg(F.min("ord").alias("ex_ord"), F.count("*").alias("size"))
+    if not by_size:
+        return rows, numbered(groups, ["ex_ord"], "ex_id")
+    keyed = groups.withColumn("rank_size", -F.col("size")).withColumn("rank_ord", -F.col("ex_ord"))
+    return rows, numbered(keyed, ["rank_size", "rank_ord"], "ex_id").drop("rank_size", "rank_ord")
+
+
+def exemplars(seqs: DataFrame, mode: str = "unaligned", mask: list[int] | None = None, by_size: bool = False) -> DataFrame:
+    """(ord, seq_name, bases) -> (ex_id, seq_name, bases, size), see :func:`dereplicate`."""
+    rows, ids = _groups(seqs, mode, mask, by_size)
+    return _named(rows, ids)
+
+
+def _named(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    names = rows.select(F.col("ord").alias("ex_ord"), "seq_name")
+    return ids.join(names, "ex_ord").select("ex_id", "seq_name", "bases", "size")
+
+
 def dereplicate(seqs: DataFrame, mode: str = "unaligned", mask: list[int] | None = None, by_size: bool = False) -> tuple[DataFrame, DataFrame]:
     """(ord, seq_name, bases) -> exemplars (ex_id, seq_name, bases, size) and the mapping (ex_id, place, seq_name).
 
@@ -22,22 +44,13 @@ def dereplicate(seqs: DataFrame, mode: str = "unaligned", mask: list[int] | None
     to keep). The exemplar is the first by ``ord``; numbers from 0 follow the exemplars' ``ord``, or with
     ``by_size`` the size descending, then the later exemplar first. Null bases are left out; empty ones are a
     group. ``ord`` must be unique. A hot group's bases combine before the shuffle; its names are numbered by
-    range, never collected.
+    range, never collected. :func:`exemplars` does without the mapping.
     """
-    prepared = kept_columns(F.col("bases"), mask) if mask is not None else MODES[mode](F.col("bases"))
-    rows = seqs.where(F.col("bases").isNotNull()).select("ord", "seq_name", prepared.alias("bases"))
-    groups = rows.groupBy("bases").agg(F.min("ord").alias("ex_ord"), F.count("*").alias("size"))
-    if by_size:
-        keyed = groups.withColumn("rank_size", -F.col("size")).withColumn("rank_ord", -F.col("ex_ord"))
-        ids = numbered(keyed, ["rank_size", "rank_ord"], "ex_id").drop("rank_size", "rank_ord")
-    else:
-        ids = numbered(groups, ["ex_ord"], "ex_id")
-    names = rows.select(F.col("ord").alias("ex_ord"), "seq_name")
-    exemplars = ids.join(names, "ex_ord").select("ex_id", "seq_name", "bases", "size")
+    rows, ids = _groups(seqs, mode, mask, by_size)
     members = rows.join(ids.select("bases", "ex_id"), "bases").select("ex_id", "ord", "seq_name")
     placed = numbered(members, ["ex_id", "ord"], "_at")
     first = placed.groupBy("ex_id").agg(F.min("_at").alias("_first"))
-    return exemplars, placed.join(first, "ex_id").select("ex_id", (F.col("_at") - F.col("_first")).alias("place"), "seq_name")
+    return _named(rows, ids), placed.join(first, "ex_id").select("ex_id", (F.col("_at") - F.col("_first")).alias("place"), "seq_name")
 
 
 def _used_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reedbed.functions.sequences import unaligned
+from reedbed.functions.sequences import SCALE, unaligned
 from reedbed.operators.distances import compare_blocks, scaled_distances
 from reedbed.plans.runtime import shuffle_partitions
 
@@ -21,8 +21,8 @@ def squared_sums(rows: DataFrame, keys: list[str], min_overlap: int = 1) -> Data
     """keys, id -> score (sum of squared scaled distances to the other members) and farthest (the largest distance).
 
     A group is cut into slices of SLICE members and every pair of slices is a piece of work of its own, so that a
-    large group is spread over tasks; partial sums are added. Pairs that share fewer columns than ``min_overlap``
-    add nothing."""
+    large group is spread over tasks; partial sums are added. Members that share fewer columns than ``min_overlap`` have
+    no distance and count as farthest apart, so that one that overlaps nobody isn't in the middle of all."""
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
     placed = rows.join(sizes, keys).select(*keys, "id", "bases", own.alias("own"), "slices")
@@ -34,7 +34,9 @@ def squared_sums(rows: DataFrame, keys: list[str], min_overlap: int = 1) -> Data
     def cell(key: tuple, ids: np.ndarray, texts: list[str], own: np.ndarray) -> list[tuple]:
         a, b = np.flatnonzero(own == key[-2]), np.flatnonzero(own == key[-1])
         mismatches, overlap = compare_blocks([texts[k] for k in a], [texts[k] for k in b])
-        dist = np.where(overlap >= min_overlap, scaled_distances(mismatches, overlap), 0)
+        dist = np.where(overlap >= min_overlap, scaled_distances(mismatches, overlap), SCALE)
+        if key[-2] == key[-1]:
+            np.fill_diagonal(dist, 0)
         out = [(*key[:n], int(ids[i]), int(s), int(m)) for i, s, m in zip(a, (dist**2).sum(1), dist.max(1, initial=0))]
         if key[-2] != key[-1]:
             out += [(*key[:n], int(ids[i]), int(s), int(m)) for i, s, m in zip(b, (dist**2).sum(0), dist.max(0, initial=0))]

@@ -205,22 +205,22 @@ _UNALIGNED = "replace(replace(bases, '-', ''), '.', '')"
 
 @query(_derep_sql("bases"))
 def derep_aligned(spark, d):
-    return derep.dereplicate(views.raw(spark, d), "aligned")[0]
+    return derep.exemplars(views.raw(spark, d), "aligned")
 
 
 @query(_derep_sql(_UNALIGNED))
 def derep_unaligned(spark, d):
-    return derep.dereplicate(views.raw(spark, d))[0]
+    return derep.exemplars(views.raw(spark, d))
 
 
 @query(_derep_sql("regexp_replace(bases, '[a-z.]', '', 'g')"))
 def derep_model(spark, d):
-    return derep.dereplicate(views.raw(spark, d), "formatted")[0]
+    return derep.exemplars(views.raw(spark, d), "formatted")
 
 
 @query(_derep_sql(_UNALIGNED, "size DESC, ord DESC"))
 def derep_sorted(spark, d):
-    return derep.dereplicate(views.raw(spark, d), by_size=True)[0]
+    return derep.exemplars(views.raw(spark, d), by_size=True)
 
 
 @query(with_views("raw") + f", g AS (SELECT {_UNALIGNED} AS u, MIN(ord) AS o FROM raw GROUP BY {_UNALIGNED}), n AS (SELECT u, ROW_NUMBER() OVER (ORDER BY o) - 1 AS ex_id FROM g) SELECT ex_id, ROW_NUMBER() OVER (PARTITION BY ex_id ORDER BY ord) - 1 AS place, seq_name FROM raw JOIN n ON n.u = {_UNALIGNED}")
@@ -250,7 +250,7 @@ def pairs_no_overlap(spark, d):
 def block_pairs(spark, d):
     """Block pairs of the whole pair matrix in blocks of 2000."""
     n = views.seqs(spark, d).select("id").distinct().count()
-    return spark.createDataFrame(distances.blocks(n, 2000), "x long, y long")
+    return distances.blocks(spark, n, 2000)
 
 
 @query(with_views("seqs") + " SELECT ROW_NUMBER() OVER (ORDER BY id, bases) - 1 AS place, id, (ROW_NUMBER() OVER (ORDER BY id, bases) - 1) // 1000 AS block FROM seqs")
@@ -592,8 +592,8 @@ def square_matrix(spark, d):
 _GROUP = "grp AS (SELECT DISTINCT s.cutoff, s.cluster_no{sample}, q.id, q.bases FROM snap s JOIN seqs q ON q.id = s.seq_id)"
 _SCORED = """, w AS (SELECT CAST(MAX(length(bases)) AS INT) AS w FROM seqs), e AS (SELECT g.*, upper(rpad(replace(bases, '.', '-'), (SELECT w FROM w), '-')) AS b FROM grp g),
 f AS (SELECT e.*, regexp_replace(b, '[A-Z]', '1', 'g') AS m, length(replace(b, '-', '')) AS n FROM e),
-p AS (SELECT x.cutoff, x.cluster_no{x}, x.id, hamming(x.b, y.b) - hamming(x.m, y.m) AS mm, (x.n + y.n - hamming(x.m, y.m)) // 2 AS ov FROM f x JOIN f y ON x.cutoff = y.cutoff AND x.cluster_no = y.cluster_no{on}),
-s2 AS (SELECT cutoff, cluster_no{sample}, id, CAST(SUM(CASE WHEN ov >= 1 THEN ((mm * 20000 + ov) // (2 * ov)) * ((mm * 20000 + ov) // (2 * ov)) ELSE 0 END) AS BIGINT) AS score, MAX(CASE WHEN ov >= 1 THEN (mm * 20000 + ov) // (2 * ov) ELSE 0 END) AS farthest FROM p GROUP BY cutoff, cluster_no{sample}, id)"""
+p AS (SELECT x.cutoff, x.cluster_no{x}, x.id, x.id = y.id AS own, hamming(x.b, y.b) - hamming(x.m, y.m) AS mm, (x.n + y.n - hamming(x.m, y.m)) // 2 AS ov FROM f x JOIN f y ON x.cutoff = y.cutoff AND x.cluster_no = y.cluster_no{on}),
+s2 AS (SELECT cutoff, cluster_no{sample}, id, CAST(SUM(CASE WHEN own THEN 0 WHEN ov >= 1 THEN ((mm * 20000 + ov) // (2 * ov)) * ((mm * 20000 + ov) // (2 * ov)) ELSE 100000000 END) AS BIGINT) AS score, MAX(CASE WHEN own THEN 0 WHEN ov >= 1 THEN (mm * 20000 + ov) // (2 * ov) ELSE 10000 END) AS farthest FROM p GROUP BY cutoff, cluster_no{sample}, id)"""
 
 
 def _medoid_sql(by_sample: bool, preferred: str = "") -> str:

@@ -51,20 +51,27 @@ def unpacked_edges(packed: DataFrame) -> DataFrame:
 
 
 def export_edges(edges: DataFrame, path: str) -> None:
-    """Plain edge files, one for each partition, named by it, in the order of the partitions."""
-    import os
+    """Plain edge files, one for each partition, named by it, in the order of the partitions.
 
-    os.makedirs(path, exist_ok=True)
+    ``path`` is a URI that all executors reach (hdfs://, s3://, or file:// and a plain path of a shared folder). A task
+    writes under a name of its own and renames at the end, so one that is run again leaves no half of a file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        with open(f"{path}/part-{part:05d}.bin", "wb") as out:
+        files, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+        files.create_dir(folder, recursive=True)
+        task = TaskContext.get()
+        begun, name = f"{folder}/.part-{task.partitionId():05d}-{task.taskAttemptId()}", f"{folder}/part-{task.partitionId():05d}.bin"
+        with files.open_output_stream(begun) as out:
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
                     out.write(raw)
-        yield pa.record_batch([pa.array([part], pa.int32())], names=["part"])
+        files.move(begun, name)
+        yield pa.record_batch([pa.array([task.partitionId()], pa.int32())], names=["part"])
 
     packed_edges(edges).mapInArrow(write, "part int").count()
 

@@ -61,6 +61,9 @@ def test_representatives(spark, rows):
     liked = spark.createDataFrame([(3,), (77,)], "id int")
     assert [(r.grp, r.id) for r in representatives.medoids(df, ["grp"], liked).orderBy("grp").collect()] == [(1, 3), (2, 9)]
     assert [(r.grp, r.id) for r in representatives.medoids(df, ["grp"], liked, invert=True).orderBy("grp").collect()] == [(1, 4), (2, 9)]
+    # Of three alike and one that shares no column with them, the odd one isn't in the middle.
+    odd = spark.createDataFrame([(1, 1, "----TT"), (1, 2, "ACGT--"), (1, 3, "ACGA--"), (1, 4, "ACGT--")], "grp int, id int, bases string")
+    assert [r.id for r in representatives.medoids(odd, ["grp"]).collect()] == [2]
 
 
 def test_formats(spark, rows, tmp_path):
