@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reedbed.plans.runtime import materialise, shuffle_partitions, table
+from reedbed.plans.runtime import materialise, release, shuffle_partitions, table
 
 #: The keys that a field of attrs may have.
 FIELD_KEYS = ("sample", "fwd", "rev", "run", "depth")
@@ -80,13 +80,14 @@ def first_of_each(keyed: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = keyed.sparkSession
     order = ["order", "key", "rec_no"]
+    # Written first: finding the ranges reads the rows once more, and keys cost more to make than to read.
+    written = materialise(keyed.where(F.col("rec_no").isNotNull()).withColumn("order", F.xxhash64("key")), "keys")
     ranged = (
-        keyed.where(F.col("rec_no").isNotNull())
-        .withColumn("order", F.xxhash64("key"))
-        .repartitionByRange(partitions or shuffle_partitions(spark), *order)
+        written.repartitionByRange(partitions or shuffle_partitions(spark), *order)
         .sortWithinPartitions(*order)
     )
     scanned = materialise(ranged.select("key", "rec_no").mapInArrow(_scan, _SCANNED), "runs")
+    release(written)
     by_part = Window.orderBy("part")
     before = by_part.rowsBetween(Window.unboundedPreceding, -1)
     joins = F.coalesce(F.col("first_key") == F.lag("last_key").over(by_part), F.lit(False))
