@@ -116,7 +116,7 @@ def _single(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int,
 
 METHODS = ("complete", "average", "single")
 #: Edges that a band of complete linkage has at least.
-BAND_EDGES = 20_000
+BAND_EDGES = 200_000
 _MERGED = "a long, b long, dist int, i long, j long, members int"
 
 
