@@ -11,7 +11,8 @@ component on its own.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reedbed.operators.components import components
-from reedbed.plans.runtime import materialise, release
+from reedbed.plans.runtime import materialise, release, shuffle_partitions
 
 MERGES = "component long, step int, a long, b long, dist double, members int"
 
@@ -120,6 +121,55 @@ BAND_EDGES = 200_000
 _MERGED = "a long, b long, dist int, i long, j long, members int"
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Columns of all rows of each component, by which the rows are sorted; it is the first column."""
+    own, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        at = 0
+        while at < batch.num_rows:
+            name = columns[0][at]
+            end = bisect_right(columns[0], name, at)
+            part = [c[at:end] for c in columns]
+            if held and name == own:
+                for column, more in zip(held, part):
+                    column.extend(more)
+            else:
+                if held:
+                    yield held
+                own, held = name, part
+            at = end
+    if held:
+        yield held
+
+
+def _per_component(rows: DataFrame, order: list[str], kernel: Callable[[list[list]], list[tuple]], schema: str) -> DataFrame:
+    """What the kernel makes of each component's rows, in order, many components a task. ``component`` is the first column."""
+    fields = [x.split() for x in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for held in _whole(batches):
+            out += kernel(held)
+            if len(out) > 10_000:
+                yield pa.record_batch([pa.array(c, types[t]) for c, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, types[t]) for c, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
+
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "component").sortWithinPartitions("component", *order).mapInArrow(run, schema)
+
+
+def _merge_band(rows: list[list]) -> list[tuple]:
+    """Columns component, kind, x, y, z, a, b, na, nb: events (kind 0: dist, i, j, the clusters and their sizes), then counts
+    seen before (kind 1: x of a and b)."""
+    _, kind, x, y, z, a, b, na, nb = rows
+    n = bisect_right(kind, 0)
+    sizes = dict(zip(a[:n], na)) | dict(zip(b[:n], nb))
+    return _complete(list(zip(x[:n], y, z, a, b)), list(zip(a[n:], b[n:], x[n:])), sizes)
+
+
 def _bands(edges: DataFrame, least: int) -> list[int]:
     """Upper ends of bands of distances with about so many edges as there may be without most of the clusters hanging
     together: two fifths of the ids', and ``least`` of them anyway."""
@@ -159,14 +209,7 @@ def _complete_merges(edges: DataFrame, least: int) -> DataFrame:
             old = seen.join(part.select(F.col("id").alias("a"), "component"), "a").join(part.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").where("component = other")
             rows = rows.unionByName(old.select("component", F.lit(1).alias("kind"), F.col("n").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "a", "b", F.lit(0).alias("na"), F.lit(0).alias("nb")))
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            new = rows[rows["kind"] == 0].sort_values(["x", "y", "z"])
-            before = rows[rows["kind"] == 1]
-            sizes = dict(zip(new["a"].tolist(), new["na"].tolist())) | dict(zip(new["b"].tolist(), new["nb"].tolist()))
-            merges = _complete(list(zip(*(new[c].tolist() for c in ("x", "y", "z", "a", "b")))), list(zip(before["a"].tolist(), before["b"].tolist(), before["x"].tolist())), sizes)
-            return pd.DataFrame(merges, columns=["a", "b", "dist", "i", "j", "members"])
-
-        merges = materialise(rows.groupBy("component").applyInPandas(run, _MERGED), "merges")
+        merges = materialise(_per_component(rows, ["kind", "x", "y", "z"], _merge_band, _MERGED), "merges")
         out = merges if out is None else out.unionByName(merges)
         # Ids of clusters of several: those of before under their new names, and those that were alone.
         to = components(merges, "a", "b").select(F.col("id").alias("cluster"), F.col("component").alias("to"))
@@ -257,15 +300,11 @@ def linkage(edges: DataFrame, method: str, psi: int | None = None, band: int = B
     kernel = _average if method == "average" else _single
     placed = (edges if method == "average" else spanning_forest(edges)).join(of.withColumnRenamed("id", "i"), "i")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["dist", "i", "j"])
-        merges = kernel(list(zip(rows["i"].tolist(), rows["j"].tolist(), rows["dist"].tolist())), far)
-        out = pd.DataFrame(merges, columns=["a", "b", "dist", "members"])
-        out.insert(0, "step", range(1, len(out) + 1))
-        out.insert(0, "component", int(rows["component"].iloc[0]))
-        return out
+    def run(rows: list[list]) -> list[tuple]:
+        component, dist, i, j = rows
+        return [(component[0], step, *m) for step, m in enumerate(kernel(list(zip(i, j, dist)), far), 1)]
 
-    return placed.groupBy("component").applyInPandas(run, MERGES)
+    return _per_component(placed.select("component", "dist", "i", "j"), ["dist", "i", "j"], run, MERGES)
 
 
 def labels_at(merges: DataFrame, ids: DataFrame, cutoff: float) -> DataFrame:
@@ -342,11 +381,11 @@ def newick(merges: DataFrame) -> DataFrame:
     """(component, newick): a tree for each component; several if its merges leave several roots, joined by blanks.
     A node's branch is its parent's height less its own."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[list]) -> list[tuple]:
         tree: dict[int, tuple[str, float]] = {}
-        for _, a, b, dist in sorted(zip(rows["step"].tolist(), rows["a"].tolist(), rows["b"].tolist(), rows["dist"].tolist())):
+        for a, b, dist in zip(*rows[2:5]):
             parts = [tree.pop(x, (str(x), 0.0)) for x in (a, b)]
             tree[a] = ("(" + ",".join(f"{text}:{dist - height:g}" for text, height in parts) + ")", dist)
-        return pd.DataFrame({"component": [int(rows["component"].iloc[0])], "newick": [" ".join(f"{text};" for _, (text, _) in sorted(tree.items()))]})
+        return [(rows[0][0], " ".join(f"{text};" for _, (text, _) in sorted(tree.items())))]
 
-    return merges.groupBy("component").applyInPandas(run, "component long, newick string")
+    return _per_component(merges.select("component", "step", "a", "b", "dist"), ["step"], run, "component long, newick string")
