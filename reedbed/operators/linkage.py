@@ -262,7 +262,8 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
     Tasks drop what closes a circle among their own edges first. Then, in rounds, each cluster takes its shortest edge to
     another, and clusters so joined are one; at least half of them go in every round. No task holds a component."""
-    left = materialise(edges.select("i", "j", "dist").mapInArrow(_forest_rows, "i long, j long, dist int").withColumn("a", F.col("i")).withColumn("b", F.col("j")), "forest")
+    typed = edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dist").cast("int").alias("dist"))
+    left = materialise(typed.mapInArrow(_forest_rows, "i long, j long, dist int").withColumn("a", F.col("i")).withColumn("b", F.col("j")), "forest")
     out = edges.sparkSession.createDataFrame([], "i long, j long, dist int")
     while not left.isEmpty():
         ends = left.select(F.inline(F.array(F.struct(F.col("a").alias("cluster"), "dist", "i", "j"), F.struct(F.col("b").alias("cluster"), "dist", "i", "j"))))
