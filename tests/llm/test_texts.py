@@ -167,6 +167,35 @@ def test_thresholds_are_calibrated():
     assert subjects.calibrated([]) == {}
 
 
+def test_every_score_is_tried():
+    docs = [(1, [{"law": k / 64}], {"law"} if k >= 35 else set()) for k in range(64)]
+    assert subjects.calibrated(docs) == {"law": 35 / 64}
+
+
+def test_thresholds_come_from_all_labels(spark):
+    """However many labels there are, of whatever documents: the first by its hash has 20,000 others."""
+    strong, weak = "Courts connect lawsuits. " * 2, "Courts show rooms. " * 2
+    docs = spark.createDataFrame([(k, strong if k % 2 else weak, "", 0, "") for k in range(40)], DOC)
+    first = docs.selectExpr("min_by(doc_id, xxhash64(doc_id)) AS x").first().x
+    many = spark.range(20_000).selectExpr(f"CAST({first} AS BIGINT) AS doc_id", "'a' || id AS subject")
+    labels = many.union(spark.createDataFrame([(k, "law") for k in range(1, 40, 2)], "doc_id long, subject string"))
+    got = [r.doc_id for r in subjects.subjects(docs, labels).collect()]
+    assert sorted(got) == list(range(1, 40, 2))
+
+
+def test_thresholds_of_a_table_are_those_of_a_list(spark):
+    rng, own = random.Random(5), subjects.matcher()
+    by = [[own.numbers[x] for x in own.names if s in own.subjects[x]] for s in ("law", "food", "sport")]
+    rows = []
+    for _ in range(400):
+        terms = [[rng.choice(rng.choice(by)) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(5))]
+        rows.append((len(terms) + rng.randrange(3), terms, rng.sample(["law", "food", "none"], rng.randrange(1, 4))))
+    rarity = [rng.random() for _ in own.names]
+    df = spark.createDataFrame(rows, "sentences int, terms array<array<int>>, labels array<string>")
+    want = subjects.calibrated([(n, own.scores(terms, rarity), set(x)) for n, terms, x in rows])
+    assert subjects._calibrated(df, subjects.TERMS, rarity, subjects.SHARE) == want and set(want) == {"law", "food"}
+
+
 def test_rarity_falls_with_document_frequency():
     rare = subjects._rarity({0: 1, 1: 50, 2: 1000}, 1000, 4)
     assert 1 == rare[3] > rare[0] > rare[1] > rare[2] > 0
