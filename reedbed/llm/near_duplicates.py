@@ -49,8 +49,10 @@ SHARED, FAMILIAR = 0.15, 0.35
 BINS, SLICES = 1 << 20, 64
 #: Records in a leaf, nodes in a node, and records in a tree; of a block of more records, a task takes two halves of that.
 LEAF, FAN, TREE = 8, 4, 2048
-#: Records of whole blocks that are compared at a time; few, so that their tokens stay in a core's cache.
+#: Records whose tokens are worked on at a time; few, so that they stay in a core's cache.
 PIECE = 512
+#: Numbers of 64 bits of bitmaps that are compared at a time, for the same reason.
+WORDS = 1 << 15
 #: Bits of a node's bitmap and of the one that records are told apart by first, powers of two.
 FOLD, NARROW = 1 << 13, 1024
 #: Different records that a partition remembers while it collapses copies; more only makes later steps collapse them.
@@ -63,6 +65,7 @@ _UPPER = bytes(range(256)).upper()
 _DROPPED = bytes(x for x in range(256) if not chr(x).isalpha() or x > 127)
 _CODE = np.full(256, 4, np.uint8)
 _CODE[list(b"ACGT")] = range(4)
+_HEADS = [bytes((x,)) for x in range(4)]
 _FOUR = np.frombuffer(b"ACGT", np.uint8)[(np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3]
 
 
@@ -76,20 +79,15 @@ def packed(texts: list[bytes]) -> list[bytes]:
     byte; else the byte 4 and the letters."""
     if not texts:
         return []
-    lens = np.array([len(x) for x in texts])
-    codes = _CODE[np.frombuffer(b"".join(texts), np.uint8)]
-    starts = np.cumsum(lens) - lens
-    plain = np.maximum.reduceat(codes, starts) < 4
-    padded = -(-lens // 4) * 4
-    places = np.cumsum(padded) - padded
-    room = np.zeros(padded.sum(), np.uint8)
-    room[np.repeat(places - starts, lens) + np.arange(len(codes))] = codes & 3
-    four = room.reshape(-1, 4)
-    data = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
-    return [
-        bytes((int(p - n),)) + data[s // 4 : (s + p) // 4] if ok else b"\x04" + t
-        for t, n, p, s, ok in zip(texts, lens, padded, places, plain)
-    ]
+    fill = [-len(x) % 4 for x in texts]
+    codes = _CODE[np.frombuffer(b"".join([x + b"AAA"[:n] if n else x for x, n in zip(texts, fill)]), np.uint8)]
+    ends = np.cumsum([len(x) + n for x, n in zip(texts, fill)])
+    starts = np.concatenate([[0], ends[:-1]])
+    plain = (np.maximum.reduceat(codes, starts) < 4).tolist()
+    four = codes.view("<u4")
+    data = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8).tobytes()
+    cuts = zip(texts, fill, (starts // 4).tolist(), (ends // 4).tolist(), plain)
+    return [_HEADS[n] + data[i:j] if ok else b"\x04" + x for x, n, i, j, ok in cuts]
 
 
 def unpacked(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,10 +105,12 @@ def unpacked(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _eight(buffer: np.ndarray) -> np.ndarray:
     """The eight letters from each place on as a 40-bit number."""
-    c = (buffer & 31).astype(np.uint64)
-    two = c[:-1] << np.uint64(5) | c[1:]
-    four = two[:-2] << np.uint64(10) | two[2:]
-    return four[:-4] << np.uint64(20) | four[4:]
+    c = (buffer & 31).astype(np.uint16)
+    two = (c[:-1] << np.uint16(5) | c[1:]).astype(np.uint32)
+    four = (two[:-2] << np.uint32(10) | two[2:]).astype(np.uint64)
+    out = four[:-4] << np.uint64(20)
+    out |= four[4:]
+    return out
 
 
 def _at(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,10 +129,11 @@ def tokens(buffer: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     x = x ^ x >> np.uint64(31)
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ x >> np.uint64(29)
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -191,8 +192,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = who
         if texts:
             records += len(texts)
-            long_run, _ = long_runs(*unpacked(texts))
-            bins += np.bincount((long_run >> _BIN).astype(np.int64), minlength=BINS)
+            found = [long_runs(*unpacked(texts[k : k + PIECE]))[0] >> _BIN for k in range(0, len(texts), PIECE)]
+            bins += np.bincount(np.concatenate(found).view(np.int64), minlength=BINS)
         if out:
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
     if records:
@@ -222,21 +223,26 @@ def long_runs(buffer: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple
 
 def _few(buffer: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The records with few different runs of RUN letters."""
-    counts = lens - RUN + 1
-    hashed = np.uint64(1) << (_at(_eight(buffer), starts, counts) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
-    return np.flatnonzero(np.bitwise_count(np.bitwise_or.reduceat(hashed, np.cumsum(counts) - counts)) <= FEW)
+    hashed = _eight(buffer)
+    hashed *= np.uint64(0x9E3779B97F4A7C15)
+    hashed >>= np.uint64(58)
+    # What is between a record's last run and the next record's first is left out.
+    order = np.argsort(starts)
+    cuts = np.stack([starts, starts + lens - RUN + 1], axis=1)[order].reshape(-1)
+    seen = np.bitwise_or.reduceat(np.append(np.uint64(1) << hashed, np.uint64(0)), cuts)[::2]
+    return np.sort(order[np.bitwise_count(seen) <= FEW])
 
 
 def _least(run: np.ndarray, late: np.ndarray | None, counts: np.ndarray, parts: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, row): the least hash of each record's runs in each of ``parts`` parts of the hashes' range; late runs come
     after all others."""
-    rows = np.repeat(np.arange(len(counts)), counts)
-    part = ((run & np.uint64(0xFFFFFF)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    part = (run & np.uint64(0xFFFFFF)) * np.uint64(parts) >> np.uint64(24)
+    part += np.repeat(np.arange(0, len(counts) * parts, parts, dtype=np.uint64), counts)
     value = (run >> np.uint64(33)).astype(np.uint32)
     if late is not None:
         value |= late
     found = np.full(len(counts) * parts, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(found, rows * parts + part, value)
+    np.minimum.at(found, part.astype(np.int64), value)
     at = np.flatnonzero(found != 0xFFFFFFFF)
     return mixed(found[at].astype(np.uint64) << np.uint64(32) | (at % parts + kind).astype(np.uint64)), at // parts
 
@@ -251,12 +257,13 @@ def _anchors(frequent: np.ndarray, parts: int):
         buffer, starts, lens = unpacked(items)
         run, counts = long_runs(buffer, starts, lens)
         last = late[(run >> _BIN).astype(np.int64)]
-        own = np.repeat(np.arange(len(counts)), counts)
-        share = np.bincount(own, last >> np.uint32(31), len(counts)) / np.maximum(counts, 1)
+        ends = np.cumsum(counts)
+        many = np.concatenate([[0], np.cumsum(last >> np.uint32(31), dtype=np.int64)])
+        share = (many[ends] - many[ends - counts]) / np.maximum(counts, 1)
         found = [_least(run, last, counts, ANCHORS, 0)]
         for some, use, more, kind in ((share > SHARED, last, 2 * ANCHORS, 256), (share > FAMILIAR, None, ANCHORS, 512)):
             if some.any():
-                inside = some[own]
+                inside = np.repeat(some, counts)
                 anchor, row = _least(run[inside], None if use is None else use[inside], counts[some], more, kind)
                 found.append((anchor, np.flatnonzero(some)[row]))
         few = _few(buffer, starts, lens)
@@ -267,10 +274,10 @@ def _anchors(frequent: np.ndarray, parts: int):
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def packets(anchor: np.ndarray, record: np.ndarray) -> Iterator[pa.RecordBatch]:
-        part = (anchor >> np.uint64(32)) % np.uint64(parts)
-        first = record >> 16
-        order = np.lexsort((record, first, part))
-        part, first = part[order], first[order]
+        part = ((anchor >> np.uint64(32)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+        order = np.argsort(record, kind="stable")
+        order = order[np.argsort(part[order], kind="stable")]
+        part, first = part[order], record[order] >> 16
         low, row = anchor[order].astype(np.uint32), record[order].astype(np.uint16)
         cuts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (first[1:] != first[:-1]), [True]]))
         blobs = [low[s:e].tobytes() + row[s:e].tobytes() for s, e in zip(cuts, cuts[1:])]
@@ -280,8 +287,8 @@ def _anchors(frequent: np.ndarray, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                piece = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(at, PIECE)
                 anchor, row = of(piece.column(1).to_pylist())
                 held.append((anchor, piece.column(0).to_numpy()[row]))
                 if sum(len(x) for x, _ in held) > TASK_ANCHORS // 4:
@@ -355,6 +362,21 @@ def _starts(group: np.ndarray, most: int) -> np.ndarray:
     return np.flatnonzero((np.arange(len(group)) - np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))) % most == 0)
 
 
+def _bitmaps(at: np.ndarray, n: int) -> np.ndarray:
+    """n bits, a multiple of 64, of which those at some places are set, as numbers of 64 bits."""
+    flags = np.zeros(n, np.uint8)
+    flags[at] = 1
+    return np.packbits(flags, bitorder="little").view("<u8")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of bits that two bitmaps have in common, row by row; a multiple of 512 bits, up to 65,472."""
+    bits = np.bitwise_count(x & y).view(np.uint64)
+    # Eight numbers of a byte each are added up as four of two bytes.
+    bits = (bits & np.uint64(0x00FF00FF00FF00FF)) + (bits >> np.uint64(8) & np.uint64(0x00FF00FF00FF00FF))
+    return (bits.sum(1) * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
+
+
 class SignatureTrees:
     """A tree for each block: leaves of up to ``leaf`` records in order, FAN nodes in one above them, up to one root. A node
     has the union of its records' bitmaps, in which tokens are folded to FOLD bits; the range of their sizes; and how many
@@ -382,10 +404,11 @@ class SignatureTrees:
         one, all_ = similarity
         ok = (high[i] * all_ >= low[j] * one) & (high[j] * all_ >= low[i] * one)
         at = np.flatnonzero(ok & (i != j))
-        for k in range(0, len(at), 2048):
-            x, y = i[at[k : k + 2048]], j[at[k : k + 2048]]
-            most = np.bitwise_count(union[x] & union[y]).sum(1, dtype=np.uint32).astype(np.int64) + np.minimum(lost[x], lost[y])
-            ok[at[k : k + 2048]] = _enough(np.minimum(most, np.minimum(high[x], high[y])), low[x], low[y], similarity)
+        step = WORDS // union.shape[1]
+        for k in range(0, len(at), step):
+            x, y = i[at[k : k + step]], j[at[k : k + step]]
+            most = _common(union.take(x, 0), union.take(y, 0)) + np.minimum(lost[x], lost[y])
+            ok[at[k : k + step]] = _enough(np.minimum(most, np.minimum(high[x], high[y])), low[x], low[y], similarity)
         return ok
 
     def pairs(self, similarity: tuple[int, int] = SIMILARITY, tally: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -425,16 +448,13 @@ def block_pairs(block: np.ndarray, items: list[bytes], similarity: tuple[int, in
     head = block.astype(np.uint64) << np.uint64(52) | (place - first[block]).astype(np.uint64)
     key = distinct(np.repeat(head, counts) | token << np.uint64(12))
     # From here on records are known by their place.
-    at = first[(key >> np.uint64(52)).astype(np.int64)] + (key & np.uint64(4095)).astype(np.int64)
+    ends = np.append(np.searchsorted(key, np.arange(1, len(members), dtype=np.uint64) << np.uint64(52)), len(key))
+    at = (key & np.uint64(4095)).astype(np.int64) + np.repeat(first, np.diff(ends, prepend=0))
     sizes = np.bincount(at, minlength=len(items))
     fold = (key >> np.uint64(12)) * np.uint64(0x9E3779B97F4A7C15 << 12 & 0xFFFFFFFFFFFFFFFF) >> np.uint64(64 - FOLD.bit_length() + 1)
-    spot = distinct(at.astype(np.uint32) * np.uint32(FOLD) + fold.astype(np.uint32))
-    word = spot >> np.uint32(6)
-    begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    bits = np.zeros(len(items) * (FOLD // 64), np.uint64)
-    bits[word[begins]] = np.bitwise_or.reduceat(np.uint64(1) << (spot & np.uint32(63)).astype(np.uint64), begins)
-    folded = sizes - np.bincount(spot // np.uint32(FOLD), minlength=len(items))
-    p, q = SignatureTrees(block, bits.reshape(len(items), -1), sizes, folded, leaf).pairs(similarity, tally)
+    bits = _bitmaps(at * FOLD + fold.astype(np.int64), len(items) * FOLD).reshape(len(items), -1)
+    folded = sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    p, q = SignatureTrees(block, bits, sizes, folded, leaf).pairs(similarity, tally)
     i, j = _exactly(key, at, block, sizes, p, q, similarity)
     return order[i], order[j]
 
@@ -448,18 +468,18 @@ def _exactly(key: np.ndarray, at: np.ndarray, block: np.ndarray, sizes: np.ndarr
     shared = ~starts
     shared[:-1] |= ~starts[1:]
     rows, starts = at[shared], starts[shared]
-    number = np.cumsum(starts) - 1
+    number = np.cumsum(starts)
     tokens_of = np.bincount(block[rows[starts]], minlength=int(block[-1]) + 1)
-    bit = number - (np.cumsum(tokens_of) - tokens_of)[block[rows]]
     words = -(-tokens_of // 64)
     row_at = np.cumsum(words[block]) - words[block]
-    bits = np.zeros(words[block].sum() + 1, np.uint64)
-    np.bitwise_or.at(bits, row_at[rows] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    # Where a record's bits would begin if the first block's tokens were the first of them.
+    begin = row_at * 64 - (np.cumsum(tokens_of) - tokens_of)[block] - 1
+    bits = _bitmaps(begin[rows] + number, 64 * (int(words[block].sum()) + 1))
     some = words[block[p]] > 0
     p, q = p[some], q[some]
     out = []
     width = words[block[p]]
-    cuts = np.searchsorted(np.cumsum(width), np.arange(1 << 20, int(width.sum()) + (1 << 20), 1 << 20), "right")
+    cuts = np.searchsorted(np.cumsum(width), np.arange(WORDS, int(width.sum()) + WORDS, WORDS), "right")
     for s, e in zip(np.concatenate([[0], cuts]), np.append(cuts, len(p))):
         if s == e:
             continue

@@ -100,6 +100,41 @@ def test_packing_of_letters():
 RAW = "rec_no long, id string, attrs string, bytes binary, key string, keep_rec long"
 
 
+def test_tokens_are_worked_on_a_piece_at_a_time(monkeypatch):
+    """Whatever comes in a batch, so that they stay in a core's cache."""
+    rng, sizes = random.Random(8), []
+    texts = [bytes(rng.choices(b"ACGT", k=40)) for _ in range(1500)]
+    long_runs = near_duplicates.long_runs
+    monkeypatch.setattr(near_duplicates, "long_runs", lambda buffer, starts, lens: sizes.append(len(lens)) or long_runs(buffer, starts, lens))
+    monkeypatch.setattr(near_duplicates.TaskContext, "get", lambda: type("", (), {"partitionId": lambda self: 0})())
+    letters = pa.array(near_duplicates.packed(texts), pa.binary())
+    ids, keys = pa.array(range(len(texts)), pa.int32()), pa.array([b"%04d" % k for k in range(len(texts))], pa.binary())
+    got = list(near_duplicates._records([pa.record_batch([ids, keys, letters], names=["id", "key", "letters"])]))
+    counts = np.concatenate([np.frombuffer(x, np.uint32)[:-1] for x in got[-1].column(2).to_pylist()])
+    assert counts.sum() == 1500 * 25 and sum(sizes) == 1500
+    list(near_duplicates._anchors(np.empty(0, np.int64), 3)([pa.record_batch([ids.cast(pa.int64()), letters], names=["record", "letters"])]))
+    assert sum(sizes) == 3000 and max(sizes) <= near_duplicates.PIECE
+
+
+def test_kernels_match_plain_python():
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"ACGT" if k % 3 else b"ACGTNRY", k=rng.randrange(8, 90))) for k in range(200)] + [b"ACACACACACACACACACAC", b"N" * 30]
+    buffer, starts, lens = near_duplicates.unpacked(near_duplicates.packed(texts))
+    assert [buffer[s : s + n].tobytes() for s, n in zip(starts, lens)] == texts
+
+    def runs(text):
+        return [sum((c & 31) << 5 * (7 - k) for k, c in enumerate(text[at : at + 8])) for at in range(len(text) - 7)]
+
+    token, counts = near_duplicates.tokens(buffer, starts, lens)
+    assert token.tolist() == [x for t in texts for x in runs(t)] and counts.tolist() == [len(t) - 7 for t in texts]
+    few = [k for k, t in enumerate(texts) if len({x * 0x9E3779B97F4A7C15 % 2**64 >> 58 for x in runs(t)}) <= near_duplicates.FEW]
+    assert near_duplicates._few(buffer, starts, lens).tolist() == few
+    for words in (8, 16, 128):
+        x, y = np.frombuffer(rng.randbytes(8 * words * 30), np.uint64).reshape(2, 15, words).copy()
+        x[0] = y[0] = np.uint64(2**64 - 1)
+        assert near_duplicates._common(x, y).tolist() == [sum((a & b).bit_count() for a, b in zip(u, v)) for u, v in zip(x.tolist(), y.tolist())]
+
+
 def test_written_differently(spark, rows):
     data = [
         (1, "S12", "sample=a1;run=x-2", b"AC-GT"),
