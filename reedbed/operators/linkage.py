@@ -60,7 +60,116 @@ def _complete(events: list[tuple[int, int, int, int, int]], seen_before: list[tu
 
 def _average(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int, float, int]]:
     """The pair with the smallest mean distance merges; pairs of members without an edge count as ``psi``. Clusters
-    without any edge between them don't merge. Equal means are the same number, and ties go by name."""
+    without any edge between them don't merge. Equal means are the same number, and ties go by name.
+
+    With w the sum of ``psi`` less the distance over the edges between two clusters, their mean is psi - w / pairs. Of a
+    cluster's links, which is nearest doesn't depend on its own size, so each cluster has a heap of its links, in which a
+    link may only look nearer than it is, and a hub's other links aren't touched when it grows. Two clusters that are each
+    other's nearest merge sooner or later in any order, so they are found along chains of nearest ones and put in order at
+    the end. Means of ``psi`` itself, which names alone decide, come last."""
+    if any(dist > psi for _, _, dist in edges):
+        return _average_in_order(edges, psi)
+    links: dict[int, dict[int, int]] = {}
+    for i, j, dist in edges:
+        links.setdefault(i, {})[j] = links.setdefault(j, {})[i] = psi - dist
+    name = {x: x for x in links}
+    size = dict.fromkeys(links, 1)
+    heaps: dict[int, list[tuple[float, int, int]]] = {x: [(-w, y, y) for y, w in to.items() if w] for x, to in links.items()}
+    for heap in heaps.values():
+        heapq.heapify(heap)
+
+    def nearest(x: int) -> int | None:
+        heap, to = heaps[x], links[x]
+        while heap:
+            held, _, y = heap[0]
+            if y not in to:
+                heapq.heappop(heap)
+                continue
+            now = (-to[y] / size[y], name[y], y)
+            if now == heap[0]:
+                return y
+            heapq.heapreplace(heap, now) if held <= now[0] else heapq.heappop(heap)
+        return None
+
+    def key(x: int, y: int) -> tuple[float, int, int]:
+        pairs, a, b = size[x] * size[y], name[x], name[y]
+        return (psi * pairs - links[x][y]) / pairs, min(a, b), max(a, b)
+
+    out: list[tuple[int, int, float, int]] = []
+    for start in list(links):
+        chain = [start] if start in links else []
+        while chain:
+            x = chain[-1]
+            y = nearest(x)
+            if len(chain) < 2 or y is not None and key(x, y) < key(x, chain[-2]):
+                if y is None:
+                    break
+                chain.append(y)
+                continue
+            y = chain[-2]
+            del chain[-2:]
+            dist, a, b = key(x, y)
+            if len(links[x]) < len(links[y]):
+                x, y = y, x
+            # x stands for both; only the links of y, which has fewer, are gone through.
+            del links[x][y], links[y][x], heaps[y]
+            size[x] += size.pop(y)
+            name[x] = a
+            to, heap = links[x], heaps[x]
+            for c, w in links.pop(y).items():
+                del links[c][y]
+                w += to.get(c, 0)
+                to[c] = links[c][x] = w
+                if w:
+                    heapq.heappush(heap, (-w / size[c], name[c], c))
+                    heapq.heappush(heaps[c], (-w / size[x], a, x))
+            out.append((a, b, dist, size[x]))
+            if not chain:
+                chain = [x]
+    done: set[int] = set()
+    for x in sorted(links, key=name.__getitem__):
+        if x not in done:
+            done.add(x)
+            n, due = size[x], [(name[y], y) for y in links[x]]
+            heapq.heapify(due)
+            while due:
+                b, y = heapq.heappop(due)
+                if y not in done:
+                    done.add(y)
+                    n += size[y]
+                    out.append((name[x], b, psi / 1, n))
+                    for z in links[y]:
+                        if z not in done:
+                            heapq.heappush(due, (name[z], z))
+    return _in_order(out)
+
+
+def _in_order(merges: list[tuple[int, int, float, int]]) -> list[tuple[int, int, float, int]]:
+    """Merges, each after those that made its clusters, as they come if the first by (dist, a, b) of all that can be made is next."""
+    last: dict[int, int] = {}
+    waits, after = [0] * len(merges), [-1] * len(merges)
+    for k, (a, b, _, _) in enumerate(merges):
+        for x in (a, b):
+            if x in last:
+                after[last[x]] = k
+                waits[k] += 1
+        last[a] = k
+    due = [(dist, a, b, k) for k, (a, b, dist, _) in enumerate(merges) if not waits[k]]
+    heapq.heapify(due)
+    out = []
+    while due:
+        k = heapq.heappop(due)[3]
+        out.append(merges[k])
+        if (up := after[k]) >= 0:
+            waits[up] -= 1
+            if not waits[up]:
+                a, b, dist, _ = merges[up]
+                heapq.heappush(due, (dist, a, b, up))
+    return out
+
+
+def _average_in_order(edges: list[tuple[int, int, int]], psi: int) -> list[tuple[int, int, float, int]]:
+    """:func:`_average` for any ``psi``, one merge after the other, each of which looks at all links of the new cluster."""
     size: dict[int, int] = {}
     links: dict[int, dict[int, tuple[int, int]]] = {}
     for i, j, dist in edges:
@@ -378,15 +487,29 @@ def single_labels(edges: DataFrame, ids: DataFrame, cutoff: int) -> DataFrame:
     return labels_at(edges.select(F.col("i").alias("a"), F.col("j").alias("b"), "dist"), ids, cutoff)
 
 
+def _text(root: tuple) -> str:
+    """A node, two of (node or leaf, branch), as text; without recursion, and each part is written once, as trees can be as
+    deep as they have leaves."""
+    out, due = [], [root]
+    while due:
+        node = due.pop()
+        if isinstance(node, str):
+            out.append(node)
+        else:
+            (left, branch), (right, other) = node
+            due += [other + ")", right, branch + ",", left, "("]
+    return "".join(out)
+
+
 def newick(merges: DataFrame) -> DataFrame:
     """(component, newick): a tree for each component; several if its merges leave several roots, joined by blanks.
     A node's branch is its parent's height less its own."""
 
     def run(rows: list[list]) -> list[tuple]:
-        tree: dict[int, tuple[str, float]] = {}
+        tree: dict[int, tuple[tuple | None, float]] = {}
         for a, b, dist in zip(*rows[2:5]):
-            parts = [tree.pop(x, (str(x), 0.0)) for x in (a, b)]
-            tree[a] = ("(" + ",".join(f"{text}:{dist - height:g}" for text, height in parts) + ")", dist)
-        return [(rows[0][0], " ".join(f"{text};" for _, (text, _) in sorted(tree.items())))]
+            parts = [(x, *tree.pop(x, (None, 0.0))) for x in (a, b)]
+            tree[a] = (tuple((node or str(x), f":{dist - height:g}") for x, node, height in parts), dist)
+        return [(rows[0][0], " ".join(_text(node) + ";" for _, (node, _) in sorted(tree.items(), key=lambda e: e[0])))]
 
     return _per_component(merges.select("component", "step", "a", "b", "dist"), ["step"], run, "component long, newick string")

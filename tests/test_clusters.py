@@ -72,6 +72,39 @@ def test_average_matches_the_definition():
             assert linkage._average(edges, 6000) == naive(edges, "average", 6000)
 
 
+def test_average_with_ties_and_any_psi_is_that_of_merges_one_by_one():
+    rng = random.Random(4)
+    for top, psi in [(2, 2), (3, 3), (3, 5), (50, 50), (50, 20), (4000, 4000)] * 20:
+        n = rng.randint(2, 12)
+        edges = sorted(((i, j, rng.randint(0, top)) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5), key=lambda e: (e[2], e[:2]))
+        assert linkage._average(edges, psi) == linkage._average_in_order(edges, psi)
+        if psi >= top and n < 9:
+            assert linkage._average(edges, psi) == naive(edges, "average", psi)
+
+
+def test_a_hub_costs_average_linkage_no_more_than_its_links(monkeypatch):
+    import heapq
+    import types
+
+    pushed = []
+    counted = {"heappush": lambda h, x: (pushed.append(1), heapq.heappush(h, x)), "heapreplace": lambda h, x: (pushed.append(1), heapq.heapreplace(h, x))}
+    monkeypatch.setattr(linkage, "heapq", types.SimpleNamespace(**{k: counted.get(k, getattr(heapq, k)) for k in heapq.__all__}))
+    edges = [(0, k, k % 700) for k in range(1, 2001)] + [(k, k + 1, 800) for k in range(1, 2000, 2)]
+    assert len(linkage._average(edges, 1000)) == 2000
+    assert len(pushed) < 20 * len(edges)
+
+
+def test_text_of_a_deep_tree_is_written_once(spark):
+    import time
+
+    n = 100_000
+    merges = spark.range(1, n + 1).selectExpr("0L AS component", "cast(id AS int) AS step", "0L AS a", "id AS b", "cast(id AS double) AS dist", "cast(id + 1 AS int) AS members")
+    began = time.time()
+    text = linkage.newick(merges).first().newick
+    assert time.time() - began < 15
+    assert text.startswith("(" * n + "0:1,1:1):1,2:2)") and text.endswith(f",{n}:{n:g});") and text.count(",") == n
+
+
 @pytest.mark.parametrize("band", [1, 10**6])
 def test_complete_in_bands_matches_the_definition(spark, band, monkeypatch):
     rng = random.Random(3)
