@@ -5,7 +5,7 @@ import pytest
 
 from reedbed.operators import linkage
 from reedbed.operators.components import components
-from reedbed.operators.distances import compare_blocks, nearest_seeds, order_breaks, pair_distances, scaled_distances
+from reedbed.operators.distances import compare_blocks, distance_profile, nearest_seeds, order_breaks, pair_distances, pairs_without_overlap, scaled_distances
 
 EDGES = [(1, 2, 0), (1, 3, 1), (1, 4, 2), (1, 5, 3), (2, 3, 4), (2, 4, 5), (2, 5, 6)]
 
@@ -168,6 +168,29 @@ def test_long_sequences_and_case(spark, rows):
     assert rows(pair_distances(seqs, 100)) == [(1, 2, 0), (1, 3, 1), (2, 3, 1)]
 
 
+def grid(spark):
+    """Sequences of many lengths, some with gaps, few letters or none, and all their (i, j, mismatches, overlap)."""
+    rng = random.Random(6)
+    texts = {k: "".join(rng.choice("ACGTacgtN" + "-." * rng.randint(0, 3)) for _ in range(rng.choice([0, 3, 20, 60, 90]))) for k in range(60)}
+    texts |= {100 + k: texts[k][:-1] + "A" for k in range(0, 60, 5) if texts[k]}
+    met = []
+    for i in texts:
+        for j in texts:
+            if i < j:
+                both = [(x.upper(), y.upper()) for x, y in zip(texts[i], texts[j]) if x.isalpha() and y.isalpha()]
+                met.append((i, j, sum(x != y for x, y in both), len(both)))
+    return spark.createDataFrame([*texts.items(), (999, None)], "id int, bases string"), met
+
+
+@pytest.mark.parametrize("block", [2, 7, 500])
+def test_no_sequence_is_sent_to_each_cell_of_the_grid(spark, rows, block):
+    seqs, met = grid(spark)
+    near = pair_distances(seqs, 3000, 12, block=block)
+    assert "bases" not in near._jdf.queryExecution().optimizedPlan().toString()
+    want = [(i, j, (mm * 20000 + ov) // (2 * ov)) for i, j, mm, ov in met if ov >= 12]
+    assert rows(near) == sorted((e for e in want if e[2] <= 3000), key=repr)
+
+
 def test_order_breaks(spark, rows):
     df = spark.createDataFrame([(k, d) for k, d in enumerate([1, 2, 5, 3, 4, 4, 2, 9])], "row_no long, dist int")
     assert rows(order_breaks(df, "row_no").select("row_no", "previous")) == [(3, 5), (6, 4)]
