@@ -191,6 +191,19 @@ def test_no_sequence_is_sent_to_each_cell_of_the_grid(spark, rows, block):
     assert rows(near) == sorted((e for e in want if e[2] <= 3000), key=repr)
 
 
+@pytest.mark.parametrize("block", [7, 500])
+def test_sums_of_all_pairs_come_from_stored_blocks(spark, rows, block):
+    seqs, met = grid(spark)
+    profile = distance_profile(seqs, 12, block=block)
+    assert "bases" not in profile._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for _, _, mm, ov in met:
+        if ov >= 12:
+            sums = want.setdefault((mm * 20000 + ov) // (2 * ov) // 100, [0, 0, 0])
+            want[(mm * 20000 + ov) // (2 * ov) // 100] = [a + b for a, b in zip(sums, (1, mm, ov))]
+    assert rows(profile) == sorted(((k, *v) for k, v in want.items()), key=repr)
+
+
 def test_order_breaks(spark, rows):
     df = spark.createDataFrame([(k, d) for k, d in enumerate([1, 2, 5, 3, 4, 4, 2, 9])], "row_no long, dist int")
     assert rows(order_breaks(df, "row_no").select("row_no", "previous")) == [(3, 5), (6, 4)]
