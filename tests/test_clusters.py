@@ -204,6 +204,21 @@ def test_sums_of_all_pairs_come_from_stored_blocks(spark, rows, block):
     assert rows(profile) == sorted(((k, *v) for k, v in want.items()), key=repr)
 
 
+@pytest.mark.parametrize("least, letters, block", [(12, 0, 7), (12, 40, 3), (25, 40, 500), (70, 40, 7)])
+def test_pairs_without_overlap_compare_sequences_of_few_letters_only(spark, rows, monkeypatch, least, letters, block):
+    from reedbed.operators import distances
+
+    seqs, met = grid(spark)
+    long = spark.createDataFrame([(2000 + k, "ACGT" * 20) for k in range(letters)], "id int, bases string")
+    seqs = seqs.unionByName(long)
+    met += [(i, 2000 + k, 0, ov) for k in range(letters) for i, ov in [(r.id, sum(c.isalpha() for c in r.bases[:80])) for r in seqs.where("id < 900").collect()]]
+    met += [(2000 + i, 2000 + j, 0, 80) for i in range(letters) for j in range(i + 1, letters)]
+    grids = []
+    monkeypatch.setattr(distances, "_all_pairs", lambda *a, real=distances._all_pairs: (grids.append(1), real(*a))[1])
+    assert rows(pairs_without_overlap(seqs, least, block=block)) == sorted(((i, j, ov) for i, j, _, ov in met if ov < least), key=repr)
+    assert bool(grids) == (least == 70 or not letters)
+
+
 def test_order_breaks(spark, rows):
     df = spark.createDataFrame([(k, d) for k, d in enumerate([1, 2, 5, 3, 4, 4, 2, 9])], "row_no long, dist int")
     assert rows(order_breaks(df, "row_no").select("row_no", "previous")) == [(3, 5), (6, 4)]
