@@ -3,7 +3,7 @@ from fractions import Fraction
 
 import pytest
 
-from reedbed.operators import linkage
+from reedbed.operators import linkage, representatives
 from reedbed.operators.components import components
 from reedbed.operators.distances import compare_blocks, distance_profile, nearest_seeds, order_breaks, pair_distances, pairs_without_overlap, scaled_distances
 
@@ -219,6 +219,24 @@ def test_pairs_without_overlap_compare_sequences_of_few_letters_only(spark, rows
     assert bool(grids) == (least == 70 or not letters)
 
 
+@pytest.mark.parametrize("size", [3, 500])
+def test_members_of_large_groups_are_stored_once(spark, rows, monkeypatch, size):
+    monkeypatch.setattr(representatives, "SLICE", size)
+    monkeypatch.setattr(representatives, "RUN", 4)
+    seqs, met = grid(spark)
+    groups = seqs.dropna().selectExpr("id % 2 AS g", "cast(id % 3 = 0 AS string) AS h", "id", "bases").where("h = 'true' OR id % 5 = 0 OR g = 1 AND id < 4")
+    of = {r.id: (r.g, r.h) for r in groups.collect()}
+    dist = {(i, j): (mm * 20000 + ov) // (2 * ov) if ov else 10000 for i, j, mm, ov in met}
+    want = []
+    for i, key in of.items():
+        others = [dist[min(i, j), max(i, j)] for j in of if j != i and of[j] == key]
+        want.append((*key, i, sum(d * d for d in others), max(others, default=0)))
+    got = representatives.squared_sums(groups, ["g", "h"])
+    assert got.columns == ["g", "h", "id", "score", "farthest"] and rows(got) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Generate" in x and "bases" in x for x in plan.splitlines()) and "own" not in plan
+
+
 def test_order_breaks(spark, rows):
     df = spark.createDataFrame([(k, d) for k, d in enumerate([1, 2, 5, 3, 4, 4, 2, 9])], "row_no long, dist int")
     assert rows(order_breaks(df, "row_no").select("row_no", "previous")) == [(3, 5), (6, 4)]
