@@ -237,6 +237,20 @@ def test_members_of_large_groups_are_stored_once(spark, rows, monkeypatch, size)
     assert not any("Generate" in x and "bases" in x for x in plan.splitlines()) and "own" not in plan
 
 
+def test_preferred_members_of_large_groups_come_from_stored_slices(spark, rows, monkeypatch):
+    stored = []
+    monkeypatch.setattr(representatives, "SLICE", 4)
+    monkeypatch.setattr(representatives, "stored_blocks", lambda r, real=representatives.stored_blocks: (stored.append(r.count()), real(r))[1])
+    seqs, _ = grid(spark)
+    groups = seqs.dropna().selectExpr("id % 3 AS g", "id", "bases").where("id < 40")
+    liked = spark.createDataFrame([(k,) for k in (3, 6, 7)], "id int")
+    score = {(r.g, r.id): r.score for r in representatives.squared_sums(groups, ["g"]).collect()}
+    want = {g: min((i not in (3, 6, 7), s, i) for (h, i), s in score.items() if h == g)[2] for g in range(3)}
+    stored.clear()
+    assert {r.g: r.id for r in representatives.medoids(groups, ["g"], liked).collect()} == want
+    assert stored == [40]
+
+
 def test_order_breaks(spark, rows):
     df = spark.createDataFrame([(k, d) for k, d in enumerate([1, 2, 5, 3, 4, 4, 2, 9])], "row_no long, dist int")
     assert rows(order_breaks(df, "row_no").select("row_no", "previous")) == [(3, 5), (6, 4)]
